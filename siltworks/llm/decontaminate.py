@@ -10,7 +10,7 @@ from siltworks.llm.shared import ascii_lower, small, stored
 
 #: Words are runs of 0-9, a-z and all beyond ASCII, after A-Z became a-z; the rest separates them.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Terms, item positions or candidates that are broadcast at most; beyond it they are shuffled.
+#: Terms and positions of items that are broadcast at most; beyond it they are shuffled.
 BROADCAST_ROWS = 200_000
 
 
@@ -71,8 +71,9 @@ def phrase_matches(docs: DataFrame, items: DataFrame, window: int = 10, lists: i
     lines = stored(diagonals(index, anchors, terms, window, lists), "diagonals")
     listed = terms.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "term"))), lambda x: x["term"]).alias("words"))
     held = lines.join(listed, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift", "words")).alias("held"))
-    held = small(held, "held", BROADCAST_ROWS // 100)
-    asked = docs.select("doc_id", tokens(F.col("text")).alias("w")).join(held.withColumnRenamed("doc_id", "held_id"), F.expr("doc_id <=> held_id"))
+    # sort-merge at any size: how many documents are candidates follows the corpus. The texts are split after the join, as words take twice the room
+    held = stored(held.withColumnRenamed("doc_id", "held_id"), "held").hint("merge")
+    asked = docs.select("doc_id", "text").join(held, F.expr("doc_id <=> held_id")).select("doc_id", "held", tokens(F.col("text")).alias("w"))
     width = f"least({window}, size(c.words))"
     same = f"CASE WHEN c.shift + s >= 1 THEN slice(w, c.shift + s + 1, {width}) = slice(c.words, s + 1, {width}) ELSE false END"
     found = f"transform(held, c -> struct(c.item_id AS item_id, c.shift AS shift, filter(sequence(0, size(c.words) - {width}), s -> {same}) AS starts, {width} AS width))"
@@ -111,7 +112,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
     ids = "array_sort(array_distinct(transform(found, f -> cast(f.item_id AS string))))"
     hit = matches.select(F.col("doc_id").alias("hit_id"), F.expr(f"size({covered})").alias("n_hit"), F.expr(ids).alias("items")).dropDuplicates(["hit_id"])
     every = index.filter("term IS NULL").select("doc_id", F.col("pos").alias("n_words"))
-    out = every.join(small(hit, "hits", BROADCAST_ROWS // 100), F.expr("doc_id <=> hit_id"), "left")
+    out = every.join(stored(hit, "hits").hint("merge"), F.expr("doc_id <=> hit_id"), "left")
     return out.select(
         "doc_id",
         F.col("n_words").cast("bigint").alias("n_words"),
