@@ -23,7 +23,7 @@ CLOSED, LETTERS, NUMBERS, OTHERS, WAITING, WHITE, ONE, TWO = range(8)
 #: White_Space code points, as ranges (fixed values).
 WHITE_SPACE = ((0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
 #: Pieces in a worker's cache, of which there are a newer and an older, and characters that are scanned at once.
-CACHE, CHUNK = 400_000, 1 << 20
+CACHE, CHUNK = 150_000, 1 << 20
 
 
 def _automaton() -> tuple[np.ndarray, np.ndarray]:
