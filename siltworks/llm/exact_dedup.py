@@ -27,7 +27,8 @@ def directory(index: DataFrame, capacity: int) -> DataFrame:
     depths = F.expr(f"explode(transform(sequence(0, {DIRECTORY_BITS}), d -> struct(d AS depth, shiftright(slot, {DIRECTORY_BITS} - d) AS prefix)))")
     tried = at.select("slot", "n", depths.alias("x")).select("slot", "n", "x.*")
     held = tried.groupBy("depth", "prefix").agg(F.sum("n").alias("held"))
-    fits = tried.join(held, ["depth", "prefix"]).filter((F.col("held") <= capacity) | (F.col("depth") == DIRECTORY_BITS))
+    # there are at most 2**17 prefixes
+    fits = tried.join(F.broadcast(held), ["depth", "prefix"]).filter((F.col("held") <= capacity) | (F.col("depth") == DIRECTORY_BITS))
     return (
         fits.groupBy("slot")
         .agg(F.min("depth").alias("depth"))
