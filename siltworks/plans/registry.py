@@ -38,7 +38,12 @@ def query(sql: str | None = None):
 
 
 c = F.col
-TIME0 = F.lit("2024-02-01 00:00:00").cast("timestamp")
+
+
+def time0():
+    return F.lit("2024-02-01 00:00:00").cast("timestamp")
+
+
 # Derived inputs, the same in SQL: coordinates of cities and events, an order log, payments.
 CITIES = "SELECT n_nationkey AS city_id, n_name AS city, -38.0 + n_nationkey * 0.5 AS lat, 140.0 + n_nationkey * 0.4 AS lng FROM nation"
 PLACED = "SELECT event_id, ts, user_id, CASE event_type WHEN 'view' THEN 'message' WHEN 'click' THEN 'reaction' WHEN 'purchase' THEN 'subscription' ELSE event_type END AS event_type, CASE WHEN event_id % 3 <> 0 THEN -38.0 + ((user_id * 7 + event_id) % 25) * 0.5 + value / 10000 END AS lat, CASE WHEN event_id % 3 <> 0 THEN 140.0 + ((user_id * 7 + event_id) % 25) * 0.4 END AS lon FROM events"
@@ -467,21 +472,21 @@ def l11_window(t):
 @query("SELECT md5(CAST(c_custkey AS VARCHAR)) AS plain, CAST(c_custkey AS VARCHAR) AS c_custkey, 'crm' AS load_src FROM customer")
 def l12_hub(t):
     empty = t.spark.createDataFrame([], "hub_key string, c_custkey string, load_dt timestamp, load_src string")
-    once = L.load_hub(t.customer.filter("c_custkey % 2 = 0"), empty, "c_custkey", "crm", TIME0)
-    return L.load_hub(t.customer, once, "c_custkey", "crm", TIME0).select(F.replace("hub_key", F.lit("-"), F.lit("")).alias("plain"), "c_custkey", "load_src")
+    once = L.load_hub(t.customer.filter("c_custkey % 2 = 0"), empty, "c_custkey", "crm", time0())
+    return L.load_hub(t.customer, once, "c_custkey", "crm", time0()).select(F.replace("hub_key", F.lit("-"), F.lit("")).alias("plain"), "c_custkey", "load_src")
 
 
 @query("SELECT DISTINCT md5(concat(o_custkey, '_', o_orderstatus)) AS plain, md5(CAST(o_custkey AS VARCHAR)) AS customer FROM orders")
 def l13_link(t):
     empty = t.spark.createDataFrame([], "link_key string, hk_o_custkey string, hk_o_orderstatus string, load_dt timestamp, load_src string")
-    link = L.load_link(t.orders, empty, ["o_custkey", "o_orderstatus"], "crm", TIME0)
+    link = L.load_link(t.orders, empty, ["o_custkey", "o_orderstatus"], "crm", time0())
     return link.select(F.replace("link_key", F.lit("-"), F.lit("")).alias("plain"), F.replace("hk_o_custkey", F.lit("-"), F.lit("")).alias("customer"))
 
 
 @query("SELECT c_custkey, c_mktsegment, md5(c_mktsegment) AS plain FROM customer UNION ALL SELECT c_custkey, 'MOVED', md5('MOVED') FROM customer WHERE c_nationkey = 3")
 def l14_satellite(t):
     empty = t.spark.createDataFrame([], "c_custkey bigint, c_mktsegment string, hashdiff string, load_dt timestamp, load_src string")
-    one = L.load_satellite(t.customer, empty, "c_custkey", ["c_mktsegment"], "crm", TIME0)
+    one = L.load_satellite(t.customer, empty, "c_custkey", ["c_mktsegment"], "crm", time0())
     moved = t.customer.withColumn("c_mktsegment", F.when(c("c_nationkey") == 3, "MOVED").otherwise(c("c_mktsegment")))
     two = L.load_satellite(moved, one, "c_custkey", ["c_mktsegment"], "crm", F.lit("2024-03-01").cast("timestamp"))
     return two.select("c_custkey", "c_mktsegment", F.replace("hashdiff", F.lit("-"), F.lit("")).alias("plain"))
@@ -587,10 +592,10 @@ def m8_settlement_report(t):
     return M.settlement_report(facts, orders, restaurants).select("restaurant_id", "order_date", "orders_count", c("total_sum_total").cast("double").alias("total"))
 
 
-@query("WITH d AS (SELECT user_id AS courier_id, event_id, CAST(year(ts) AS INTEGER) AS y, CAST(month(ts) AS INTEGER) AS m, event_id % 3 + 3.0 AS rate, value, value * 0.1 AS tip FROM events), a AS (SELECT courier_id, y, m, avg(rate) AS r FROM d GROUP BY 1, 2, 3) SELECT courier_id, y AS settlement_year, m AS settlement_month, count(DISTINCT event_id) AS orders_count, round(sum(value), 4) AS orders_total_sum, round(sum(CASE WHEN r < 4 THEN greatest(value * 0.05, 100) WHEN r < 4.5 THEN greatest(value * 0.07, 150) WHEN r < 4.9 THEN greatest(value * 0.08, 175) ELSE greatest(value * 0.10, 200) END) + sum(tip) * 0.95, 4) AS courier_reward_sum FROM d JOIN a USING (courier_id, y, m) GROUP BY 1, 2, 3")
+@query("WITH d AS (SELECT user_id AS courier_id, event_id, CAST(year(ts) AS INTEGER) AS y, CAST(month(ts) AS INTEGER) AS m, event_id % 3 + 3.0 AS rate, value, value * 0.1 AS tip FROM events), a AS (SELECT courier_id, y, m, avg(rate) AS r FROM d GROUP BY 1, 2, 3) SELECT courier_id, y AS settlement_year, m AS settlement_month, count(DISTINCT event_id) AS orders_count, round(sum(value), 6) AS orders_total_sum, round(sum(CASE WHEN r < 4 THEN greatest(value * 0.05, 100) WHEN r < 4.5 THEN greatest(value * 0.07, 150) WHEN r < 4.9 THEN greatest(value * 0.08, 175) ELSE greatest(value * 0.10, 200) END) + sum(tip) * 0.95, 6) AS courier_reward_sum FROM d JOIN a USING (courier_id, y, m) GROUP BY 1, 2, 3")
 def m9_courier_ledger(t):
     deliveries = t.events.select(c("user_id").alias("courier_id"), c("event_id").alias("order_id"), c("ts").alias("order_ts"), (c("event_id") % 3 + 3.0).alias("rate"), c("value").alias("sum"), (c("value") * 0.1).alias("tip_sum"))
-    return M.courier_ledger(deliveries).select("courier_id", "settlement_year", "settlement_month", "orders_count", F.round("orders_total_sum", 4).alias("orders_total_sum"), F.round("courier_reward_sum", 4).alias("courier_reward_sum"))
+    return M.courier_ledger(deliveries).select("courier_id", "settlement_year", "settlement_month", "orders_count", F.round("orders_total_sum", 6).alias("orders_total_sum"), F.round("courier_reward_sum", 6).alias("courier_reward_sum"))
 
 
 @query("WITH g AS (SELECT user_id % 40 AS group_id, min(ts) AS registered FROM events GROUP BY 1 ORDER BY 2, 1 LIMIT 10), a AS (SELECT event_id % 40 AS group_id, count(DISTINCT user_id) AS n FROM events WHERE event_type = 'signup' GROUP BY 1), w AS (SELECT event_id % 40 AS group_id, count(DISTINCT user_id) AS n FROM events WHERE event_type = 'view' AND value > 100 GROUP BY 1) SELECT a.group_id, a.n AS cnt_added_users, coalesce(w.n, 0) AS cnt_users_in_group_with_messages, coalesce(w.n, 0) / a.n AS group_conversion FROM a JOIN g USING (group_id) LEFT JOIN w USING (group_id)")

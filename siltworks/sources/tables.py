@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
 CORRUPT = "_corrupt_record"
 
@@ -54,12 +54,16 @@ def read_csv_day(spark: SparkSession, glob: str, schema: StructType | str, day_c
 
 
 def load_with_rejects(spark: SparkSession, path: str, schema: StructType, sep: str = ",") -> tuple[DataFrame, DataFrame]:
-    """(good, rejected). Empty fields are null; a line that the schema can't hold is rejected whole, as text."""
-    wide = StructType([*schema.fields, StructField(CORRUPT, StringType())])
-    read = spark.read.csv(path, schema=wide, header=True, sep=sep, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, nullValue="", emptyValue="")
-    columns = [f.name for f in schema.fields]
-    # all columns are named in both, since the corrupt column alone can't be selected from a file
-    return read.filter(F.col(CORRUPT).isNull()).select(columns), read.filter(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("line"), *columns).select("line")
+    """(good, rejected). Empty fields are null; a line that the schema can't hold is rejected whole, as text.
+
+    Each file starts with a line of the schema's names; a record is one line.
+    """
+    wide = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields) + f", {CORRUPT} string"
+    options = {"sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "nullValue": "", "emptyValue": ""}
+    lines = spark.read.text(path).filter(F.col("value") != sep.join(f.name for f in schema.fields))
+    read = lines.select("value", F.from_csv("value", wide, options).alias("row"))
+    bad = F.col(f"row.{CORRUPT}").isNotNull()
+    return read.filter(~bad).select("row.*").drop(CORRUPT), read.filter(bad).select(F.col("value").alias("line"))
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, options: dict[str, str] | None = None) -> DataFrame:
