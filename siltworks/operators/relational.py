@@ -166,6 +166,12 @@ def enrich_items(orders: DataFrame, menus: DataFrame, item_keys: Keys, attribute
     return orders.join(menus.select(*item_keys, attribute), item_keys, "left").withColumn(attribute, F.coalesce(attribute, F.lit(default)))
 
 
+def build_message(df: DataFrame, keys: Keys, item_columns: Keys, alias: str = "message") -> DataFrame:
+    """One JSON document per key: the keys and ``items``, its rows' item columns as an array in their own order."""
+    items = F.array_sort(F.collect_list(F.struct(*item_columns))).alias("items")
+    return df.groupBy(*keys).agg(items).select(*keys, F.to_json(F.struct(*keys, "items")).alias(alias))
+
+
 # -- aggregations
 
 

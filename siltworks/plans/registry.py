@@ -620,3 +620,144 @@ def m11_global_metrics(t):
 @query(_METRICS + "SELECT date_update, currency_from, cnt_transactions FROM z WHERE date_update >= DATE '2024-01-10' AND date_update <> DATE '2024-01-15' AND currency_from IN (410, 420)")
 def m15_metrics_view(t):
     return R.metrics_view(_metrics(t), "cnt_transactions", "date_update", "2024-01-10", {"currency_from": [410, 420]}, "2024-01-15")
+
+
+# -- operators that are parts of the above, each on its own
+
+
+@query("SELECT event_id, coalesce(nullif(event_type, 'view'), 'other') AS kind FROM events")
+def p6_fallback(t):
+    return t.events.select("event_id", F.coalesce(F.nullif(c("event_type"), F.lit("view")), F.lit("other")).alias("kind"))
+
+
+@query(f"SELECT operation_id, account_number_from FROM (SELECT * FROM ({PAYMENTS}) QUALIFY row_number() OVER (PARTITION BY operation_id ORDER BY transaction_dt DESC, amount DESC) = 1) WHERE account_number_from >= 0 AND amount > 0")
+def p16_clean_payments(t):
+    newest = R.dedup_newest(derived(t, PAYMENTS), ["operation_id"], "transaction_dt", "amount")
+    return R.clean_payments(newest, "account_number_from", "amount").select("operation_id", "account_number_from")
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def p19_distinct(t):
+    return t.events.select("user_id", "event_type").distinct()
+
+
+@query("SELECT c_custkey, n_name FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 2 = 0) ON c_nationkey = n_nationkey")
+def j3_left_dictionary(t):
+    customers = t.customer.select("c_custkey", c("c_nationkey").alias("n_nationkey"))
+    return R.left_join(customers, t.nation.filter("n_nationkey % 2 = 0").select("n_nationkey", "n_name"), "n_nationkey", broadcast=True).select("c_custkey", "n_name")
+
+
+@query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
+def j7_not_exists(t):
+    kept = R.not_exists(t.orders.select(c("o_orderkey").alias("l_orderkey")), t.lineitem.filter("l_returnflag = 'R'"), ["l_orderkey"])
+    return kept.select(c("l_orderkey").alias("o_orderkey"))
+
+
+LATE_VERSIONS = "SELECT user_id, version_id, active_from, coalesce(lead(active_from) OVER (PARTITION BY user_id ORDER BY active_from), TIMESTAMP '2099-12-31') AS active_to FROM (SELECT o_custkey AS user_id, max(o_orderkey) AS version_id, o_orderdate AS active_from FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' GROUP BY o_custkey, o_orderdate)"
+
+
+@query(f"WITH v AS ({LATE_VERSIONS}), r AS (SELECT DISTINCT l_orderkey, l_partkey, o_custkey AS user_id, l_shipdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1) SELECT l_orderkey, l_partkey, l_shipdate, version_id FROM r JOIN v ON r.user_id = v.user_id QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_partkey, l_shipdate, r.user_id ORDER BY (l_shipdate >= active_from AND l_shipdate < active_to) DESC, active_from DESC) = 1")
+def j10_asof_latest(t):
+    rows = t.lineitem.filter("l_linenumber = 1").join(t.orders, c("l_orderkey") == c("o_orderkey")).select("l_orderkey", "l_partkey", c("o_custkey").alias("user_id"), "l_shipdate").distinct()
+    found = R.asof_join(rows, derived(t, LATE_VERSIONS), "user_id", "l_shipdate", fallback="latest", row_id=rows.columns)
+    return found.select("l_orderkey", "l_partkey", "l_shipdate", "version_id")
+
+
+@query("SELECT o_orderkey, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 0")
+def j19_surrogate_lookup(t):
+    known, _ = R.surrogate_lookup(t.orders, t.customer.filter("c_acctbal > 0").select(c("c_custkey").alias("o_custkey"), "c_nationkey"), ["o_custkey"])
+    return known.select("o_orderkey", "c_nationkey")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, round(coalesce(nullif(l_discount, 0), 0) * l_quantity, 6) AS total FROM lineitem")
+def a16_line_total(t):
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.round(S.line_total(F.nullif(c("l_discount"), F.lit(0.0)), c("l_quantity")), 6).alias("total"))
+
+
+@query("SELECT event_id, CAST(sum(CASE WHEN b <> event_type THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events)")
+def w7_island_id(t):
+    before = R.with_previous(t.events, ["user_id"], ["ts", "event_id"], "event_type")
+    return R.island_id(before, ["user_id"], ["ts", "event_id"], c("previous") != c("event_type")).select("event_id", "island")
+
+
+@query(f"WITH p AS ({PLACED}) SELECT event_id, round({_KM}, 6) AS km FROM (SELECT event_id, lat AS a_lat, lon AS a_lon, CAST(-33.87 AS DOUBLE) AS b_lat, CAST(151.21 AS DOUBLE) AS b_lon FROM p WHERE lat IS NOT NULL)")
+def h16_haversine(t):
+    return derived(t, PLACED).filter("lat IS NOT NULL").select("event_id", F.round(S.haversine_km(c("lat"), c("lon"), F.lit(-33.87), F.lit(151.21)), 6).alias("km"))
+
+
+@query("SELECT o_orderkey, round(o_totalprice - o_totalprice * 0.25, 4) AS reward FROM orders")
+def h17_net(t):
+    return t.orders.select("o_orderkey", F.round(S.net(c("o_totalprice"), S.pct_fee(c("o_totalprice"), 0.25)), 4).alias("reward"))
+
+
+@query("SELECT l_orderkey, array_to_string(list(l_partkey ORDER BY l_linenumber, l_partkey, l_suppkey), ',') AS parts FROM lineitem GROUP BY 1")
+def h24_build_message(t):
+    built = R.build_message(t.lineitem, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"])
+    items = F.from_json("message", "struct<items array<struct<l_partkey bigint>>>")["items"]["l_partkey"]
+    return built.select("l_orderkey", F.array_join(items.cast("array<string>"), ",").alias("parts"))
+
+
+@query("SELECT o_orderstatus, o_orderkey FROM orders")
+def l1_full_refresh(t):
+    return L.full_refresh(t.orders, t.orders.select("o_orderstatus", "o_orderkey").limit(0))
+
+
+@query("WITH x AS (SELECT o_custkey AS k, o_orderdate AS dt, o_orderstatus AS s, o_orderpriority AS p FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderdate ORDER BY o_orderstatus DESC, o_orderpriority DESC) = 1), y AS (SELECT *, lag(s) OVER (PARTITION BY k ORDER BY dt) AS b, lag(p) OVER (PARTITION BY k ORDER BY dt) AS q FROM x), z AS (SELECT * FROM y WHERE b IS DISTINCT FROM s OR q IS DISTINCT FROM p) SELECT k, s, p, dt AS active_from, coalesce(lead(dt) OVER (PARTITION BY k ORDER BY dt), TIMESTAMP '2099-12-31') AS active_to FROM z")
+def l7_scd2_several(t):
+    empty = t.spark.createDataFrame([], "k bigint, s string, p string, active_from timestamp, active_to timestamp")
+    log = t.orders.select(c("o_custkey").alias("k"), c("o_orderstatus").alias("s"), c("o_orderpriority").alias("p"), c("o_orderdate").alias("dt"))
+    first = L.scd2(log.filter("dt < '1998-01-01'"), empty, "k", ["s", "p"], "dt")
+    return L.scd2(log.filter("dt >= '1998-01-01'"), first, "k", ["s", "p"], "dt")
+
+
+@query("SELECT event_id, ts FROM events")
+def l9_incremental(t):
+    source, state = t.events.select("event_id", "ts"), t.spark.createDataFrame([], "workflow_key string, last_value string")
+    target = source.limit(0)
+    for part in (source.filter("ts < '2024-01-15'"), source):
+        target, state = L.incremental(part, target, state, "events", "ts", lambda new, now: L.insert_new(new, now, ["event_id"]))
+    return target
+
+
+@query("SELECT CAST(o_orderkey % 4000 AS VARCHAR) AS object_id, max(o_orderdate) AS update_ts FROM orders GROUP BY 1")
+def l16_land_documents(t):
+    written = F.to_json(F.struct((c("o_orderkey") % 4000).alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("ts")))
+    return L.land_documents(t.orders.select(written.alias("document")), "document", ["$._id", "$.id"], "$.ts", time0()).select("object_id", "update_ts")
+
+
+@query("SELECT * FROM (SELECT CAST(ts AS DATE) AS day, round(count(*) / count(DISTINCT user_id), 6) AS ratio FROM events GROUP BY 1) WHERE ratio > 2")
+def d12_flag_days(t):
+    daily = t.events.groupBy(F.to_date("ts").alias("day")).agg(F.round(F.count("*") / F.count_distinct("user_id"), 6).alias("ratio"))
+    return D.flag_days(daily, "ratio", 2.0)
+
+
+@query("SELECT CAST(l_orderkey AS VARCHAR) AS order_id, CAST(l_partkey AS VARCHAR) AS product_id, l_partkey * 2 + CASE WHEN o_orderdate < TIMESTAMP '1996-01-01' THEN 0 ELSE 1 END AS version_id, CAST(CAST(max(l_extendedprice) AS DECIMAL(14,2)) * CAST(max(l_quantity) AS INTEGER) AS DOUBLE) AS total FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey, l_partkey, o_orderdate")
+def m7_product_sales(t):
+    lines = t.lineitem.groupBy("l_orderkey", "l_partkey").agg(F.max("l_extendedprice").cast("decimal(14,2)").alias("price"), F.max("l_quantity").cast("int").alias("quantity"))
+    item = F.struct(c("l_partkey").cast("string").alias("product_id"), "price", "quantity", F.lit(0).alias("bonus_payment"), F.lit(0).alias("bonus_grant"))
+    grouped = lines.groupBy(c("l_orderkey").cast("string").alias("order_id")).agg(F.collect_list(item).alias("product_payments"))
+    events = grouped.select(F.to_json(F.struct("order_id", "product_payments")).alias("event_value"))
+    split = F.inline(F.expr("array(struct(p_partkey * 2 AS version_id, TIMESTAMP '1990-01-01' AS active_from, TIMESTAMP '1996-01-01' AS active_to), struct(p_partkey * 2 + 1 AS version_id, TIMESTAMP '1996-01-01' AS active_from, TIMESTAMP '2099-12-31' AS active_to))"))
+    products = t.part.select(c("p_partkey").cast("string").alias("product_id"), split)
+    sold = M.product_sales(events, t.orders.select(c("o_orderkey").cast("string").alias("order_id"), c("o_orderdate").alias("order_ts")), products)
+    return sold.select("order_id", "product_id", "version_id", c("total_sum").cast("double").alias("total"))
+
+
+@query("SELECT DISTINCT md5(concat(user_id, '_', event_id % 20)) AS plain, event_type AS event FROM events WHERE event_type IN ('signup', 'click') AND user_id IN (SELECT c_custkey FROM customer) AND event_id % 20 IN (SELECT n_nationkey FROM nation WHERE n_nationkey < 15)")
+def m12_group_activity(t):
+    link = t.spark.createDataFrame([], "link_key string, hk_user_id string, hk_group_id string, load_dt timestamp, load_src string")
+    satellite = t.spark.createDataFrame([], "link_id string, event string, event_dt timestamp, hashdiff string, load_dt timestamp, load_src string")
+    log = t.events.filter("event_type IN ('signup', 'click')").select("user_id", (c("event_id") % 20).alias("group_id"), c("event_type").alias("event"), c("ts").alias("event_dt"))
+    users, groups = t.customer.select(c("c_custkey").alias("user_id")), t.nation.filter("n_nationkey < 15").select(c("n_nationkey").alias("group_id"))
+    link, satellite = M.load_group_activity(log, users, groups, link, satellite, "log", time0())
+    events = satellite.select(S.md5_uuid(c("link_id")).alias("link_key"), "event").distinct()
+    return link.join(events, "link_key").select(F.replace("link_key", F.lit("-"), F.lit("")).alias("plain"), "event")
+
+
+@query("SELECT o_custkey AS user_id, l_returnflag AS category, count(DISTINCT l_orderkey) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL")
+def m13_guest_counters(t):
+    lines = t.lineitem.join(t.orders, c("l_orderkey") == c("o_orderkey")).select(c("l_orderkey").alias("order_id"), c("o_custkey").alias("user_id"), c("l_returnflag").alias("category"))
+    counters, ledger = t.spark.createDataFrame([], "user_id bigint, category string, n bigint"), t.spark.createDataFrame([], "order_id bigint")
+    for part in (lines.filter("order_id % 2 = 0"), lines):  # the second batch repeats the first
+        counters, ledger = M.guest_counters(part, counters, ledger, "category", True)
+    return counters
