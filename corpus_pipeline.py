@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltworks.llm import bpe, decontaminate, exact_dedup, quality, simhash
+from siltworks.llm import bpe, decontaminate, exact_dedup, near_copies, quality
 from siltworks.llm.queries import rank_file, table
 from siltworks.llm.shared import stored
 
@@ -15,6 +15,11 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
 
 
+def _row():
+    """A hash of id and text, both null-safe: the same for rows of the same document only."""
+    return F.xxhash64(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.col("text").isNull(), F.coalesce("text", F.lit(""))).alias("row")
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the classifier rejects."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
@@ -26,12 +31,13 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group that fingerprints of five-word shingles link.
+    """The document with the least id of each group that near copies connect: those whose sets of five-word shingles have a similarity of 0.8 or more.
 
-    Fingerprints at 4 or fewer of 64 differing bits stand for a cosine of about 0.98 of the shingles, above the 0.8 that near copies need.
+    Null ids come last. Rows with the same id and text are one; of different texts with one id each is a document of its own.
     """
-    found = simhash.near_dedup(docs, width=5)
-    return _only(docs, stored(found.filter("doc_id = component_id").select("doc_id").distinct(), "kept"))
+    found = near_copies.near_copies(docs.select(_row(), "doc_id", "text"), 5, 0.8)
+    kept = stored(found.filter("kept").select("row"), "kept")
+    return docs.withColumn("row", _row()).join(kept, "row", "left_semi").dropDuplicates(["row"]).select(docs.columns)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
