@@ -10,11 +10,6 @@ from siltworks.llm.queries import rank_file, table
 from siltworks.llm.shared import stored
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents with these ids (stored, distinct), one row for each."""
-    return docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-
-
 def _row():
     """A hash of id and text, both null-safe: the same for rows of the same document only."""
     return F.xxhash64(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.col("text").isNull(), F.coalesce("text", F.lit(""))).alias("row")
@@ -26,8 +21,14 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of equal texts."""
-    return _only(docs, stored(exact_dedup.exact_dedup(docs).filter("kept").select("doc_id").distinct(), "kept"))
+    """The document with the least id of each group of equal texts; a group of null ids alone keeps one row.
+
+    A kept id stands only for its own text: where different texts have one id, each is judged on its own.
+    """
+    own = F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)))
+    kept = exact_dedup.exact_dedup(docs).filter("kept").select(F.xxhash64(own, "text_sha256").alias("own")).distinct()
+    asked = docs.withColumn("own", F.xxhash64(own, F.sha2(exact_dedup.normalised(F.col("text")), 256)))
+    return asked.join(stored(kept, "kept"), "own", "left_semi").dropDuplicates(["own"]).select(docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +42,13 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that hold a window of a benchmark item."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return _only(docs, stored(found.filter("NOT contaminated").select("doc_id").distinct(), "kept"))
+    """Without the documents that hold a window of a benchmark item.
+
+    Each text is judged on its own, also where its id is null or another text has it. Rows with the same id and text are one.
+    """
+    found = decontaminate.decontaminate(docs.select(_row().alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    clean = stored(found.filter("NOT contaminated").select(F.col("doc_id").alias("row")).distinct(), "kept")
+    return docs.withColumn("row", _row()).join(clean, "row", "left_semi").dropDuplicates(["row"]).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
