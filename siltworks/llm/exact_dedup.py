@@ -39,10 +39,10 @@ def directory(index: DataFrame, capacity: int) -> DataFrame:
 def build_index(docs: DataFrame, capacity: int, key_bits: int) -> tuple[DataFrame, DataFrame]:
     """The stored (directory, index) of the normalised texts of ``docs``.
 
-    The pseudo-key is the first ``key_bits`` bits of the text's SHA-256. Copies meet by comparing the bytes
-    of whole texts, after a partial aggregation in each input task, so that a group of any size sends one row
-    a task. Distinct texts with the same pseudo-key chain: ``link`` numbers them within the bucket. Owner tasks
-    each write one range of buckets.
+    The pseudo-key is the first ``key_bits`` bits of the text's SHA-256. Copies meet in an aggregation before the index, by
+    comparing the bytes of whole texts, after a partial aggregation in each input task, so that a group of any size sends
+    one row a task. The index holds no texts: it routes the lookup of each row by ``text_sha256``, which also tells apart
+    texts with the same pseudo-key. Owner tasks each write one range of buckets.
     """
     texts = docs.select("doc_id", normalised(F.col("text")).alias("norm"))
     groups = texts.groupBy("norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
