@@ -22,8 +22,17 @@ LETTER, NUMBER, OTHER, SHORT, LONG, INNER, SPACE, BREAK, END = range(9)
 CLOSED, LETTERS, NUMBERS, OTHERS, WAITING, WHITE, ONE, TWO = range(8)
 #: White_Space code points, as ranges (fixed values).
 WHITE_SPACE = ((0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
-#: Pieces in a worker's cache, of which there are a newer and an older, and characters that are scanned at once.
-CACHE, CHUNK = 150_000, 1 << 20
+#: Letters and numbers that Unicode 15.1 and 16.0 added to 15.0, as ranges (fixed values): with them every Python from 3.12 on that
+#: has Unicode 15.0 to 16.0 gives the classes of 16.0, which are the library's.
+NEWER_LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5),
+    (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0), (0x2EBF0, 0x2EE5D),
+)
+NEWER_NUMBERS = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
+#: Bytes that a worker's cache of pieces takes at most, with what an entry takes beside its piece and tokens; longer pieces are merged each time.
+CACHE_BYTES, ENTRY_BYTES, CACHED_PIECE = 24 << 20, 200, 64
+#: Characters that are scanned at once.
+CHUNK = 1 << 18
 
 
 def _automaton() -> tuple[np.ndarray, np.ndarray]:
@@ -48,11 +57,14 @@ TO, STARTS = _automaton()
 
 @lru_cache(1)
 def classes() -> np.ndarray:
-    """LETTER, NUMBER, OTHER or INNER of each code point."""
+    """LETTER, NUMBER, OTHER or INNER of each code point, by Unicode 16.0."""
+    if unicodedata.unidata_version not in ("15.0.0", "15.1.0", "16.0.0"):
+        raise RuntimeError(f"code point classes are known for Python with Unicode 15.0 to 16.0, not {unicodedata.unidata_version}")
     kinds = {"L": LETTER, "N": NUMBER}
     out = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
-    for lo, hi in WHITE_SPACE:
-        out[lo : hi + 1] = INNER
+    for ranges, kind in ((NEWER_LETTERS, LETTER), (NEWER_NUMBERS, NUMBER), (WHITE_SPACE, INNER)):
+        for lo, hi in ranges:
+            out[lo : hi + 1] = kind
     return out
 
 
@@ -152,17 +164,22 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Encoder:
-    """Encodes texts; keeps the tokens of the pieces it has seen."""
+    """Encodes texts; keeps the tokens of the pieces it has seen, a newer and an older half, of CACHE_BYTES together at most."""
 
     def __init__(self, path: str):
         self.ranks, _, _, self.lengths = vocabulary(path)
         self.seen: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.room = CACHE_BYTES // 2
 
     def piece(self, piece: bytes) -> bytes:
-        if len(self.seen) >= CACHE:
-            self.older, self.seen = self.seen, {}
-        out = self.seen[piece] = self.older.get(piece) or pack(f"<{len(ids := merge(piece, self.ranks))}I", *ids)
+        out = self.older.get(piece) or pack(f"<{len(ids := merge(piece, self.ranks))}I", *ids)
+        if len(piece) <= CACHED_PIECE:
+            takes = ENTRY_BYTES + len(piece) + len(out)
+            if takes > self.room:
+                self.older, self.seen, self.room = self.seen, {}, CACHE_BYTES // 2
+            self.room -= takes
+            self.seen[piece] = out
         return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
@@ -243,3 +260,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens and ids of ``encoded``, as ``encode`` returns it, and decoded: the bytes of each row's text."""
     rows = encoded.select("doc_id", "n_tokens", "ids", "offsets")
     return rows.mapInArrow(lambda it: decode_batches(it, path), "doc_id bigint, n_tokens bigint, ids binary, decoded binary")
+
+
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """``decode(encode(docs))`` in one pass, with one Python worker a task: doc_id, n_tokens, ids and decoded."""
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(lambda it: decode_batches(encode_batches(it, path), path), "doc_id bigint, n_tokens bigint, ids binary, decoded binary")

@@ -33,6 +33,22 @@ def test_every_code_point():
         assert np.frombuffer(ids, "<u4").tolist() == TRUE.encode_ordinary(text)
 
 
+def test_every_code_point_after_a_mark_a_digit_and_a_space():
+    texts = ["".join(f"a {chr(c)}1{chr(c)}'{chr(c)}a" for c in range(lo, lo + 4096) if not 0xD800 <= c < 0xE000) for lo in range(0, 0x110000, 4096)]
+    encode = bpe.Encoder(PATH)
+    for text in texts:
+        assert np.frombuffer(encode([text])[0], "<u4").tolist() == TRUE.encode_ordinary(text)
+
+
+def test_cache_is_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 20_000)
+    encode, texts = bpe.Encoder(PATH), random_texts(3000, 4) + ["z" * 5000, " " + "é" * 4000]
+    for text in texts:
+        assert np.frombuffer(encode([text])[0], "<u4").tolist() == TRUE.encode_ordinary(text)
+        held = [*encode.seen.items(), *encode.older.items()]
+        assert sum(bpe.ENTRY_BYTES + len(k) + len(v) for k, v in held) <= 20_000 and max((len(k) for k, _ in held), default=0) <= bpe.CACHED_PIECE
+
+
 def test_round_trip(spark, monkeypatch):
     texts = TEXTS + random_texts(300, 9)
     docs = spark.createDataFrame([*enumerate(texts), (-1, None), (0, TEXTS[0])], "doc_id bigint, text string").selectExpr("*", "1 AS ids", "2 AS offsets")
@@ -45,3 +61,5 @@ def test_round_trip(spark, monkeypatch):
     sizes = [len(TRUE.decode_single_token_bytes(t)) for t in TRUE.encode_ordinary(texts[12])]
     assert np.frombuffer(offsets, "<i4").tolist() == [sum(sizes[:i]) for i in range(len(sizes))]
     assert bpe.encode(docs.limit(0), PATH).count() == 0
+    columns = ["doc_id", "n_tokens", "ids", "decoded"]
+    assert sorted(map(repr, bpe.round_trip(docs, PATH).select(columns).collect())) == sorted(map(repr, bpe.decode(bpe.encode(docs, PATH), PATH).select(columns).collect()))
