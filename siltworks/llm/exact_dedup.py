@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from siltworks.llm.shared import stored
 
 #: Bits of the directory at most: it never has more than 2**16 rows, which bounds its broadcast.
 DIRECTORY_BITS = 16
+#: Keys that a bucket holds before it splits, and bits of a key.
+CAPACITY, KEY_BITS = 4096, 60
 
 
 def normalised(text):
@@ -16,14 +19,14 @@ def normalised(text):
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " ")
 
 
-def directory(index: DataFrame, capacity: int) -> DataFrame:
+def directory(keys: DataFrame, capacity: int) -> DataFrame:
     """(slot, depth, bucket) for each used slot of 2**DIRECTORY_BITS.
 
-    A bucket starts as the whole key space at depth 0. Wherever it holds over ``capacity`` entries the directory
+    A bucket starts as the whole key space at depth 0. Wherever it holds over ``capacity`` keys the directory
     doubles and the bucket splits by the next bit, down to DIRECTORY_BITS; what is still overfull there chains on.
-    So a slot's bucket is its shortest key prefix with at most ``capacity`` entries.
+    So a slot's bucket is its shortest key prefix with at most ``capacity`` keys.
     """
-    at = index.groupBy("slot").agg(F.count("*").alias("n"))
+    at = keys.groupBy("slot").agg(F.count("*").alias("n"))
     depths = F.expr(f"explode(transform(sequence(0, {DIRECTORY_BITS}), d -> struct(d AS depth, shiftright(slot, {DIRECTORY_BITS} - d) AS prefix)))")
     tried = at.select("slot", "n", depths.alias("x")).select("slot", "n", "x.*")
     held = tried.groupBy("depth", "prefix").agg(F.sum("n").alias("held"))
@@ -36,46 +39,56 @@ def directory(index: DataFrame, capacity: int) -> DataFrame:
     )
 
 
-def build_index(docs: DataFrame, capacity: int, key_bits: int) -> tuple[DataFrame, DataFrame]:
-    """The stored (directory, index) of the normalised texts of ``docs``.
+def hashed(docs: DataFrame, key_bits: int) -> DataFrame:
+    """The stored rows of ``docs`` with their normalised text (norm), its SHA-256, its key of ``key_bits`` bits and the key's slot, and a number (at).
 
-    The pseudo-key is the first ``key_bits`` bits of the text's SHA-256. Copies meet in an aggregation before the index, by
-    comparing the bytes of whole texts, after a partial aggregation in each input task, so that a group of any size sends
-    one row a task. The index holds no texts: it routes the lookup of each row by ``text_sha256``, which also tells apart
-    texts with the same pseudo-key. Owner tasks each write one range of buckets.
+    Texts are normalised and hashed once, here; the key is the start of a 64-bit hash.
     """
-    texts = docs.select("doc_id", normalised(F.col("text")).alias("norm"))
-    groups = texts.groupBy("norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    keyed = groups.select("keep_id", "group_size", F.sha2(F.col("norm"), 256).alias("text_sha256"))
-    entries = stored(keyed.withColumns(_address(key_bits)), "entries")
-    slots = stored(directory(entries, capacity), "directory")
-    owned = (
-        entries.join(F.broadcast(slots), "slot")
-        .repartitionByRange("bucket", "key")
-        .sortWithinPartitions("bucket", "key", "text_sha256")
-    )
-    return slots, stored(owned.select("bucket", "depth", "key", "text_sha256", "keep_id", "group_size"), "index")
-
+    once = docs.withColumn("norm", normalised(F.col("text"))).withColumn("key", F.shiftrightunsigned(F.xxhash64("norm"), 64 - key_bits))
+    slot = F.shiftleft("key", DIRECTORY_BITS - key_bits) if key_bits < DIRECTORY_BITS else F.shiftrightunsigned("key", key_bits - DIRECTORY_BITS)
+    return stored(once.select("*", slot.cast("int").alias("slot"), F.sha2("norm", 256).alias("text_sha256"), F.monotonically_increasing_id().alias("at")), "texts")
 
-def _address(key_bits: int) -> dict:
-    key = F.conv(F.substring("text_sha256", 1, 15), 16, 10).cast("bigint")  # 60 bits
-    key = F.shiftright(key, 60 - key_bits)
-    slot = F.shiftleft(key, DIRECTORY_BITS - key_bits) if key_bits < DIRECTORY_BITS else F.shiftright(key, key_bits - DIRECTORY_BITS)
-    return {"key": key, "slot": slot.cast("int")}
 
+def build_index(texts: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame]:
+    """The stored (directory, index) of ``texts``, as ``hashed`` returns it: slot, depth, bucket; bucket, depth, key, link, text_sha256, keep_id, keep_at, group_size.
 
-def exact_dedup(docs: DataFrame, capacity: int = 1_000_000, key_bits: int = 60) -> DataFrame:
+    Inserts are pre-aggregated by key in each input task, so a key that a third of all rows have sends one row a task. A key that
+    one row has is an entry as it stands. Where several rows have a key their texts are fetched and compared byte by byte within the
+    key, again a partial aggregation first; texts that differ are a chain of entries, numbered by ``link``. So copies are found in
+    the buckets' keys, and only texts with a shared key are moved. Owner tasks each write one range of buckets.
+    """
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "at"))
+    keys = texts.groupBy("slot", "key").agg(F.count("*").alias("group_size"), least.alias("best"), F.min("text_sha256").alias("text_sha256"))
+    keys = stored(keys, "keys")
+    slots = stored(directory(keys, capacity), "directory")
+    met = texts.join(keys.filter("group_size > 1").select("slot", "key"), ["slot", "key"], "left_semi")
+    compared = met.groupBy("slot", "key", "norm").agg(F.count("*").alias("group_size"), least.alias("best"), F.min("text_sha256").alias("text_sha256"))
+    entries = stored(keys.filter("group_size = 1").unionByName(compared.drop("norm")), "entries")
+    owned = entries.join(F.broadcast(slots), "slot").repartitionByRange("bucket", "key")
+    chain = Window.partitionBy("bucket", "key").orderBy("text_sha256")
+    linked = owned.withColumn("link", F.row_number().over(chain) - 1).sortWithinPartitions("bucket", "key", "link")
+    return slots, stored(linked.select("bucket", "depth", "key", "link", "text_sha256", F.col("best.doc_id").alias("keep_id"), F.col("best.at").alias("keep_at"), "group_size"), "index")
+
+
+def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, key_bits: int = KEY_BITS) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal if identical after each run of ASCII white space became one space; the row with the least
     doc_id stays. Null texts equal empty ones. Rows repeated with the same doc_id are one document: each of them gets the same
     answer. A null doc_id is never kept before another; a group of nulls alone keeps them. Other columns of
-    ``docs`` are not read. An empty table gives none. ``capacity``: entries a bucket; ``key_bits``: 1 to 60, less of them only to
+    ``docs`` are not read. An empty table gives none. ``capacity``: keys a bucket; ``key_bits``: 1 to 60, less of them only to
     test collisions. Native expressions only.
     """
-    slots, index = build_index(docs, capacity, key_bits)
-    asked = docs.select("doc_id", F.sha2(normalised(F.col("text")), 256).alias("text_sha256")).withColumns(_address(key_bits))
-    found = asked.join(F.broadcast(slots.select("slot", "bucket")), "slot").join(
-        index.select("bucket", "key", "text_sha256", "keep_id", "group_size"), ["bucket", "key", "text_sha256"]
-    )
+    texts = hashed(docs.select("doc_id", "text"), key_bits)
+    slots, index = build_index(texts, capacity)
+    asked = texts.select("doc_id", "slot", "key", "text_sha256").join(F.broadcast(slots.select("slot", "bucket")), "slot")
+    found = asked.join(index.select("bucket", "key", "text_sha256", "keep_id", "group_size"), ["bucket", "key", "text_sha256"])
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+
+
+def keep_first(docs: DataFrame, capacity: int = CAPACITY, key_bits: int = KEY_BITS) -> DataFrame:
+    """One row of ``docs`` for each of its texts, with all its columns: the one that ``exact_dedup`` keeps; of repeated rows with its doc_id one."""
+    own = ["at", "slot", "key", "text_sha256", "norm"]
+    texts = hashed(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text"), key_bits)
+    _, index = build_index(texts, capacity)
+    return texts.drop(*own[1:]).join(index.select(F.col("keep_at").alias("at")), "at", "left_semi").select("row.*")

@@ -5,21 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltworks.llm import bpe, decontaminate, exact_dedup, html_text, licenses, quality, simhash, substrings, toxicity, urls
+from siltworks.llm import bpe, decontaminate, exact_dedup, html_text, licenses, quality, simhash, stages, substrings, toxicity, urls
+from siltworks.llm.shared import rank_file, table
 
 RULES: urls.Rules = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def rank_file() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-
-
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_passages(table(spark, sf_dir, "documents"))
 
@@ -65,9 +56,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return stages.run(spark, sf_dir)
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_decontamination, op4_bpe, op5_quality, op6_simhash, op7_url_filter, op8_license_scan, op9_exact_dedup, op10_html_text, pipeline)}

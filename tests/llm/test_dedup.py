@@ -6,10 +6,11 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from siltworks.llm.components import components
-from siltworks.llm.exact_dedup import build_index, exact_dedup
-from siltworks.llm.simhash import fingerprint_links, forest, near_dedup
+from siltworks.llm.exact_dedup import build_index, exact_dedup, hashed, keep_first
+from siltworks.llm.simhash import PIVOTS, coordinates, finer, fingerprint_links, forest, near_dedup, with_pivots
 
 DOCS = "doc_id bigint, text string, key string, bucket int, fp string"
 TEXTS = [None, "", " ", "  ", "a  b", "a\tb", "a b", "A b", "ä b", "ä b", "x " * 30000, "x  " * 30000, "\n", "a b"]
@@ -59,14 +60,48 @@ def test_exact_repeated_rows_and_empty(spark):
 
 def test_directory_splits(spark):
     docs = docs_of(spark, [f"t{i}" for i in range(200)])
-    slots, index = build_index(docs, 10, 60)
+    slots, index = build_index(hashed(docs, 60), 10)
     held = defaultdict(int)
     for r in index.collect():
         held[r.bucket, r.depth] += 1
-    assert max(held.values()) <= 10 and len(held) > 20
+    assert max(held.values()) <= 10 and len(held) > 20 and len({d for _, d in held}) > 1
     assert sum(2.0 ** -d for _, d in held) <= 1
 
 
+def test_copies_are_found_in_the_chains_of_the_index(spark):
+    docs = docs_of(spark, TEXTS + [f"t{i % 30}" for i in range(90)])
+    want = {}
+    for i, keep, n, _, sha in exact_brute([(r.doc_id, r.text) for r in docs.collect()]):
+        want[sha] = (keep, n)
+    for bits in (2, 60):
+        slots, index = build_index(hashed(docs.select("doc_id", "text"), bits), 4)
+        rows = index.collect()
+        assert {r.text_sha256: (r.keep_id, r.group_size) for r in rows} == want and len(rows) == len(want)
+        chains = defaultdict(list)
+        for r in rows:
+            chains[r.bucket, r.key].append(r.link)
+        assert all(sorted(x) == list(range(len(x))) for x in chains.values())
+        assert (max(map(len, chains.values())) > 1) == (bits == 2)
+        assert {r.bucket for r in rows} <= {r.bucket for r in slots.collect()}
+
+
+def test_the_answer_is_what_the_stored_index_says(spark, monkeypatch):
+    from siltworks.llm import exact_dedup as module
+
+    build = module.build_index
+    monkeypatch.setattr(module, "build_index", lambda *a: (build(*a)[0], build(*a)[1].withColumn("keep_id", F.lit(-7).cast("bigint"))))
+    assert {r.keep_id for r in exact_dedup(docs_of(spark, ["a", "b", "a"])).collect()} == {-7}
+
+
+def test_keep_first_returns_whole_rows(spark):
+    rows = [(None, "a b", 1), (2, "a b", 2), (1, "a\t b", 3), (1, "b", 4), (None, "c", 5), (None, "c", 5), (4, None, 6), (3, "", 7)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, at int").withColumn("key", F.lit("k"))
+    got = keep_first(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.at, r.text) for r in got.collect()) == [(3, "a\t b"), (4, "b"), (5, "c"), (7, "")]
+    assert keep_first(docs.limit(0)).count() == 0
+
+
 def fp_brute(text, width):
     words = (text or "").encode().lower().split()
     sh = [b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
@@ -112,7 +147,8 @@ def test_links_connect_as_all_pairs_do(spark, block):
     want = union([(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 4], signed)
     edges = fingerprint_links(spark.createDataFrame([(x,) for x in signed], "fp bigint"), 4, block)
     assert union([(r.src, r.dst) for r in edges.collect()], signed) == want
-    src, dst = forest(np.array(sorted(fps), np.uint64), 4)
+    every = np.array(sorted(fps), np.uint64)
+    src, dst = forest(every, np.bitwise_count(every[:, None] ^ np.array(PIVOTS, np.uint64)).astype(np.int8), 4)
     assert union(zip(src.view(np.int64).tolist(), dst.view(np.int64).tolist()), signed) == want
 
 
@@ -124,3 +160,27 @@ def test_components(spark):
     want = union([e for e in edges if None not in e], {x for e in edges for x in e if x is not None})
     got = components(spark.createDataFrame(edges, "a bigint, b bigint"), "a", "b").collect()
     assert sorted((r.node, r.root) for r in got) == sorted((x, want[x]) for x in linked)
+
+
+def test_pivot_table_and_what_it_discards(spark):
+    rng = np.random.default_rng(3)
+    fps = rng.integers(0, 1 << 36, 400, dtype=np.uint64)  # as in a band: 28 bits are equal
+    rows = with_pivots(spark.createDataFrame([(int(x),) for x in fps], "fp bigint")).collect()
+    table = coordinates(np.array([r.p0 for r in rows]), np.array([r.p1 for r in rows]))
+    for x, row in zip(fps, table):
+        assert row.tolist() == [(int(x) ^ p).bit_count() for p in PIVOTS]
+    far = np.abs(table[:, None].astype(int) - table[None]).max(2) > 4
+    apart = np.bitwise_count(fps[:, None] ^ fps[None])
+    assert not (far & (apart <= 4)).any() and far[apart > 4].mean() > 0.9
+
+
+def test_finer_bands_lose_no_link():
+    rng = random.Random(8)
+    for _ in range(200):
+        mask = sum(1 << i for i in rng.sample(range(64), 28))
+        while mask.bit_count() < 50:
+            free = [i for i in range(64) if not mask >> i & 1]
+            change = sum(1 << i for i in rng.sample(free, min(4, len(free))))
+            kept = [m for m in finer(mask) if not m & change]
+            assert kept and all(m & mask == mask for m in kept)
+            mask = rng.choice(kept)
