@@ -1,71 +1,5 @@
-"""A training corpus from raw documents: quality, exact and near duplicates, benchmark passages, tokens."""
+"""A training corpus from raw documents: quality, exact and near duplicates, benchmark passages, tokens. The stages are in ``siltworks.llm.stages``."""
 
-from __future__ import annotations
+from siltworks.llm.stages import ORACLE_SQL, STAGES, good_quality, run, tokens, without_benchmarks, without_copies, without_near_copies
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from siltworks.llm import bpe, decontaminate, exact_dedup, near_copies, quality
-from siltworks.llm.queries import rank_file, table
-from siltworks.llm.shared import stored
-
-
-def _row():
-    """A hash of id and text, both null-safe: the same for rows of the same document only."""
-    return F.xxhash64(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.col("text").isNull(), F.coalesce("text", F.lit(""))).alias("row")
-
-
-def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the classifier rejects."""
-    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
-
-
-def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of equal texts; a group of null ids alone keeps one row.
-
-    A kept id stands only for its own text: where different texts have one id, each is judged on its own.
-    """
-    own = F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)))
-    kept = exact_dedup.exact_dedup(docs).filter("kept").select(F.xxhash64(own, "text_sha256").alias("own")).distinct()
-    asked = docs.withColumn("own", F.xxhash64(own, F.sha2(exact_dedup.normalised(F.col("text")), 256)))
-    return asked.join(stored(kept, "kept"), "own", "left_semi").dropDuplicates(["own"]).select(docs.columns)
-
-
-def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group that near copies connect: those whose sets of five-word shingles have a similarity of 0.8 or more.
-
-    Null ids come last. Rows with the same id and text are one; of different texts with one id each is a document of its own.
-    """
-    found = near_copies.near_copies(docs.select(_row(), "doc_id", "text"), 5, 0.8)
-    kept = stored(found.filter("kept").select("row"), "kept")
-    return docs.withColumn("row", _row()).join(kept, "row", "left_semi").dropDuplicates(["row"]).select(docs.columns)
-
-
-def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that hold a window of a benchmark item.
-
-    Each text is judged on its own, also where its id is null or another text has it. Rows with the same id and text are one.
-    """
-    found = decontaminate.decontaminate(docs.select(_row().alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    clean = stored(found.filter("NOT contaminated").select(F.col("doc_id").alias("row")).distinct(), "kept")
-    return docs.withColumn("row", _row()).join(clean, "row", "left_semi").dropDuplicates(["row"]).select(docs.columns)
-
-
-def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the digests of the ids and of the bytes that they decode to."""
-    path = rank_file()
-    coded = bpe.decode(bpe.encode(docs, path), path)
-    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
-
-
-STAGES = [("quality", good_quality), ("exact_dedup", without_copies), ("near_dedup", without_near_copies), ("decontamination", without_benchmarks), ("bpe", tokens)]
-
-#: SQL expresses neither the classifier nor the tokens; tests compare the stages with brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "good_quality", "run", "tokens", "without_benchmarks", "without_copies", "without_near_copies"]
