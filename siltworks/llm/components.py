@@ -12,9 +12,11 @@ def _summary(edges: DataFrame):
     return edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
 
 
-def components(edges: DataFrame, src: str, dst: str, max_rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame, src: str, dst: str, max_rounds: int = 100, settle: bool = True) -> DataFrame:
     """(node, root): root is the least node of the component; nodes without an edge to another are left out.
 
+    Without ``settle`` it ends after ``max_rounds``: then root is some node of the component, and nodes that have no lesser neighbour are left out too.
+
     ``edges`` has two bigint columns; null ends and loops are ignored, repeats do no harm. Each round is written
     to the shared folder. Minima are pre-aggregated before their shuffle, and the joins read stored
     tables on both sides, so that adaptive execution can split a node that a third of all edges share.
@@ -34,10 +36,13 @@ def components(edges: DataFrame, src: str, dst: str, max_rounds: int = 100) -> D
         low = stored(down.groupBy("hi").agg(F.min("lo").alias("root")), "low")
         star = down.join(low, "hi").filter("lo > root").select(F.col("lo").alias("hi"), F.col("root").alias("lo"))
         now = stored(star.unionByName(low.withColumnRenamed("root", "lo")).distinct(), "edges")
-        if (is_now := _summary(now)) == was:
-            break
-        was = is_now
+        if settle:
+            if (is_now := _summary(now)) == was:
+                break
+            was = is_now
     else:
+        if not settle:
+            return now.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("root"))
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
     return roots.unionByName(now.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())

@@ -26,12 +26,12 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def majority(hashes: np.ndarray) -> np.uint64:
-    """The fingerprint of 64-bit hashes: a bit is 1 if set in over half of them; 0 of none."""
-    ones = np.zeros(64, np.int64)
-    for lo in range(0, len(hashes), 1 << 16):
-        ones += np.unpackbits(hashes[lo : lo + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0]
+def majority(hashes: np.ndarray, words: int = 1) -> np.ndarray:
+    """The fingerprint of hashes of ``words`` 64-bit words each, so many words: a bit is 1 if set in over half of the hashes; 0 of none."""
+    ones, n, step = np.zeros(64 * words, np.int64), len(hashes) // words, words << 12
+    for lo in range(0, len(hashes), step):
+        ones += np.unpackbits(hashes[lo : lo + step].view(np.uint8).reshape(-1, 8 * words), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > n, bitorder="little").view(np.uint64)
 
 
 def fingerprint_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -44,7 +44,7 @@ def fingerprint_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterat
             if not words:
                 continue
             shingles = zip(*(words[j:] for j in range(width))) if len(words) >= width else [words]
-            out[i] = majority(np.fromiter((xxh64_intdigest(b" ".join(x), 42) for x in shingles), np.uint64, max(1, len(words) - width + 1)))
+            out[i] = majority(np.fromiter((xxh64_intdigest(b" ".join(x), 42) for x in shingles), np.uint64, max(1, len(words) - width + 1)))[0]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
 
 
