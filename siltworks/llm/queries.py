@@ -21,7 +21,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "n_near")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,10 +82,24 @@ WITH split AS (
     SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + width)) AS q FROM found) GROUP BY doc_id
 ), ids AS (
     SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS listed FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM found) GROUP BY doc_id
+), occurrences AS (
+    SELECT doc_id, unnest(w) AS term, unnest(range(1, len(w) + 1)) AS pos FROM split
+), counts AS (
+    SELECT term, count(*) AS n FROM occurrences GROUP BY term
+), ranked AS (
+    SELECT item_id, term, row_number() OVER (PARTITION BY item_id ORDER BY n NULLS FIRST, term) AS rank, least(3, count(*) OVER (PARTITION BY item_id)) AS needed
+    FROM (SELECT DISTINCT item_id, unnest(v) AS term FROM items) LEFT JOIN counts USING (term)
+), lists AS (
+    SELECT doc_id, item_id, pos, rank, needed FROM ranked JOIN occurrences USING (term) WHERE rank <= 3
+), near AS (
+    SELECT doc_id, count(DISTINCT item_id) AS n_near FROM (
+        SELECT a.doc_id, a.item_id, a.pos FROM lists a LEFT JOIN lists b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND b.rank > 1 AND abs(a.pos - b.pos) <= 20
+        WHERE a.rank = 1 GROUP BY a.doc_id, a.item_id, a.pos, a.needed HAVING count(DISTINCT b.rank) = a.needed - 1
+    ) GROUP BY doc_id
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM split LEFT JOIN hits USING (doc_id) LEFT JOIN ids USING (doc_id)
+       sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM split LEFT JOIN hits USING (doc_id) LEFT JOIN ids USING (doc_id) LEFT JOIN near USING (doc_id)
 """,
     "op9_exact_dedup": r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)

@@ -30,12 +30,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, name: str, most_rows: int) -> DataFrame:
-    """Store ``df``; hint a broadcast only if it has at most ``most_rows`` rows, else leave the join to a shuffle."""
-    out = stored(df, name)
-    return F.broadcast(out) if out.count() <= most_rows else out
-
-
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

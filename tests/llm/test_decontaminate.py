@@ -1,9 +1,11 @@
 import random
 import re
+from collections import Counter
 
 import pytest
 
-from siltworks.llm.decontaminate import build_index, decontaminate, item_terms, proximity_matches
+from siltworks.llm import decontaminate as module
+from siltworks.llm.decontaminate import build_index, decontaminate, item_terms, proximity_matches, rarest_of_items, term_counts
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -44,9 +46,37 @@ def test_as_brute_force(spark, seed, window):
     docs, items = tables(seed)
     d = spark.createDataFrame(docs, "doc_id bigint, text string").selectExpr("*", "1 AS term", "2 AS pos", "3 AS w")
     b = spark.createDataFrame(items, "item_id bigint, text string").selectExpr("*", "1 AS term")
-    got = sorted((tuple(r) for r in decontaminate(d, b, window).collect()), key=repr)
-    assert got == brute(docs, items, window)
+    got = sorted((tuple(r) for r in decontaminate(d, b, window, within=3).collect()), key=repr)
+    assert [r[:6] for r in got] == brute(docs, items, window)
     assert sum(r[5] for r in got) > 5
+    assert sorted((r[0], r[1], r[6]) for r in got if r[0] is not None) == sorted((i, len(words(t)), n) for (i, t), n in zip(docs, near_brute(docs, items, 3)) if i is not None)
+    assert any(r[6] > 2 for r in got)
+
+
+def near_brute(docs, items, within):
+    counts = Counter(w for _, t in docs for w in words(t))
+    out = [0] * len(docs)
+    for _, v in {(i, " ".join(words(t))) for i, t in items if i is not None}:
+        ranked = sorted(set(v.split()), key=lambda w: (counts[w], w))[:3]
+        for k, (_, t) in enumerate(docs):
+            w = words(t)
+            out[k] += bool(ranked) and any(x == ranked[0] and set(ranked[1:]) <= set(w[max(0, p - within) : p + within + 1]) for p, x in enumerate(w))
+    return out
+
+
+def test_passes_over_the_index_change_nothing(spark, monkeypatch):
+    docs, items = tables(3)
+    d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    want = sorted(map(repr, decontaminate(d, b).collect()))
+    monkeypatch.setattr(module, "BROADCAST_ROWS", 7)
+    assert sorted(map(repr, decontaminate(d, b).collect())) == want
+
+
+def test_texts_with_one_id_are_judged_each(spark):
+    d = spark.createDataFrame([(1, "x one two three"), (1, "nothing here"), (None, "one two three"), (None, None), (2, "one " * 30000)], "doc_id bigint, text string")
+    b = spark.createDataFrame([(5, "one two three"), (6, "one")], "item_id bigint, text string")
+    got = sorted((str(r.doc_id), r.n_words, r.n_hit, r.items) for r in decontaminate(d, b).collect())
+    assert got == [("1", 2, 0, []), ("1", 4, 3, ["5", "6"]), ("2", 30000, 30000, ["6"]), ("None", 0, 0, []), ("None", 3, 3, ["5", "6"])]
 
 
 def test_empty_tables(spark):
@@ -61,6 +91,6 @@ def test_proximity(spark):
     docs = [(1, "red x x fox x x jumps"), (2, "fox red jumps"), (3, "red fox"), (4, "jumps " + "x " * 30 + "red fox"), (5, None)]
     b = spark.createDataFrame([(7, "Red fox jumps"), (8, "fox"), (9, "fox unicorn")], "item_id bigint, text string")
     d = spark.createDataFrame(docs, "doc_id bigint, text string")
-    index = build_index(d, item_terms(b).select("term").distinct())
-    got = {(r.doc_id, r.item_id) for r in proximity_matches(index, b, within=6).collect()}
+    index, terms = build_index(d), item_terms(b)
+    got = {(r.doc_id, r.item_id) for r in proximity_matches(index, rarest_of_items(term_counts(index, terms), terms, 3), within=6).collect()}
     assert got == {(1, 7), (2, 7), (1, 8), (2, 8), (3, 8), (4, 8)}
