@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltworks.llm.shared import stored
+from siltworks.llm.shared import drop, stored
 
 
 def _summary(edges: DataFrame):
@@ -35,7 +35,8 @@ def components(edges: DataFrame, src: str, dst: str, max_rounds: int = 100, sett
         down = stored(large.filter("hi > lo").distinct(), "large")
         low = stored(down.groupBy("hi").agg(F.min("lo").alias("root")), "low")
         star = down.join(low, "hi").filter("lo > root").select(F.col("lo").alias("hi"), F.col("root").alias("lo"))
-        now = stored(star.unionByName(low.withColumnRenamed("root", "lo")).distinct(), "edges")
+        before, now = now, stored(star.unionByName(low.withColumnRenamed("root", "lo")).distinct(), "edges")
+        drop(before, least, down, low)
         if settle:
             if (is_now := _summary(now)) == was:
                 break

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siltworks.llm.shared import ascii_lower, stored
+from siltworks.llm.shared import ascii_lower, scratch, split_by, stored
 
 #: Words are runs of 0-9, a-z and all beyond ASCII, after A-Z became a-z; the rest separates them.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -102,7 +102,8 @@ def phrase_matches(docs: DataFrame, lists_: DataFrame, anchors: DataFrame, terms
     shifts = lines.groupBy(*ROW, "item_id").agg(F.collect_list("shift").alias("shifts"))  # an item's words once, at however many places
     held = stored(shifts.join(listed, "item_id").groupBy(*ROW).agg(F.collect_list(F.struct("item_id", "shifts", "words")).alias("held")), "held")
     # sort-merge at any size: how many documents are candidates follows the corpus. Only candidates are split, and stored, as the comparison reads the words over and over
-    asked = rows_of(docs).alias("d").join(held.hint("merge").alias("h"), same_row("d", "h")).select("d.doc_id", "d.text_hash", "held", tokens(F.col("text")).alias("w"))
+    may = split_by(rows_of(docs), ROW, held)[0]
+    asked = may.alias("d").join(held.hint("merge").alias("h"), same_row("d", "h")).select("d.doc_id", "d.text_hash", "held", tokens(F.col("text")).alias("w"))
     asked = stored(asked.dropDuplicates(ROW), "asked")
     width = f"least({window}, size(c.words))"
     same = f"CASE WHEN x + s >= 1 THEN slice(w, x + s + 1, {width}) = slice(c.words, s + 1, {width}) ELSE false END"
@@ -133,23 +134,26 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, lists: in
     doc_id and text are one document and each get its answer; of different texts with one id each is judged on its own. Only doc_id, text and item_id are read, so
     extra columns don't matter. Native expressions only.
     """
-    docs = docs.select("doc_id", "text")
-    terms = stored(item_terms(items.select("item_id", "text")), "terms")
-    index = build_index(docs)
-    counts = term_counts(index, terms)
-    anchors = stored(rarest(counts, terms, window, lists), "anchors")
-    ranked = stored(rarest_of_items(counts, terms, near), "ranked")
-    wanted = stored(anchors.select("term").unionByName(ranked.select("term")).distinct(), "wanted")
-    lists_ = stored(met(index.filter("term IS NOT NULL"), wanted), "lists")
-    matches = phrase_matches(docs, lists_, anchors, terms, window, lists)
-    covered = "array_distinct(flatten(flatten(transform(found, f -> transform(f.starts, s -> sequence(f.shift + s, f.shift + s + f.width - 1))))))"
-    ids = "array_sort(array_distinct(transform(found, f -> cast(f.item_id AS string))))"
-    hit = matches.select(*ROW, F.expr(f"size({covered})").alias("n_hit"), F.expr(ids).alias("items"), F.lit(0).alias("n_near"))
-    close = proximity_matches(lists_, ranked, within).groupBy(*ROW).agg(F.count_distinct("item_id").alias("n_near"))
-    close = close.select(*ROW, F.lit(0).alias("n_hit"), F.lit(None).cast("array<string>").alias("items"), "n_near")
-    both = hit.unionByName(close).groupBy(*ROW).agg(F.max("n_hit").alias("n_hit"), F.max("items").alias("items"), F.max("n_near").alias("n_near"))
-    every = index.filter("term IS NULL").select(*ROW, F.col("pos").alias("n_words"))
-    out = every.alias("d").join(stored(both, "hits").hint("merge").alias("h"), same_row("d", "h"), "left")
+    with scratch(docs.sparkSession) as keep:
+        docs = docs.select("doc_id", "text")
+        terms = stored(item_terms(items.select("item_id", "text")), "terms")
+        index = build_index(docs)
+        counts = term_counts(index, terms)
+        anchors = stored(rarest(counts, terms, window, lists), "anchors")
+        ranked = stored(rarest_of_items(counts, terms, near), "ranked")
+        wanted = stored(anchors.select("term").unionByName(ranked.select("term")).distinct(), "wanted")
+        lists_ = stored(met(index.filter("term IS NOT NULL"), wanted), "lists")
+        matches = phrase_matches(docs, lists_, anchors, terms, window, lists)
+        covered = "array_distinct(flatten(flatten(transform(found, f -> transform(f.starts, s -> sequence(f.shift + s, f.shift + s + f.width - 1))))))"
+        ids = "array_sort(array_distinct(transform(found, f -> cast(f.item_id AS string))))"
+        hit = matches.select(*ROW, F.expr(f"size({covered})").alias("n_hit"), F.expr(ids).alias("items"), F.lit(0).alias("n_near"))
+        close = proximity_matches(lists_, ranked, within).groupBy(*ROW).agg(F.count_distinct("item_id").alias("n_near"))
+        close = close.select(*ROW, F.lit(0).alias("n_hit"), F.lit(None).cast("array<string>").alias("items"), "n_near")
+        both = hit.unionByName(close).groupBy(*ROW).agg(F.max("n_hit").alias("n_hit"), F.max("items").alias("items"), F.max("n_near").alias("n_near"))
+        every = stored(index.filter("term IS NULL").select(*ROW, F.col("pos").alias("n_words")), "lengths")
+        hits = stored(both, "hits")
+        keep(every, hits)
+    out = every.alias("d").join(hits.hint("merge").alias("h"), same_row("d", "h"), "left")
     return out.select(
         "d.doc_id",
         F.col("n_words").cast("bigint").alias("n_words"),

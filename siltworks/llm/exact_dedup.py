@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siltworks.llm.shared import stored
+from siltworks.llm.shared import scratch, split_by, stored
 
 #: Bits of the directory at most: it never has more than 2**16 rows, which bounds its broadcast.
 DIRECTORY_BITS = 16
@@ -40,34 +40,38 @@ def directory(keys: DataFrame, capacity: int) -> DataFrame:
 
 
 def hashed(docs: DataFrame, key_bits: int) -> DataFrame:
-    """The stored rows of ``docs`` with their normalised text (norm), its SHA-256, its key of ``key_bits`` bits and the key's slot, and a number (at).
+    """The stored rows of ``docs`` with the SHA-256 of their normalised text, its key of ``key_bits`` bits, the key's slot and a number (at).
 
-    Texts are normalised and hashed once, here; the key is the start of a 64-bit hash.
+    The key is the start of a 64-bit hash.
     """
     once = docs.withColumn("norm", normalised(F.col("text"))).withColumn("key", F.shiftrightunsigned(F.xxhash64("norm"), 64 - key_bits))
     slot = F.shiftleft("key", DIRECTORY_BITS - key_bits) if key_bits < DIRECTORY_BITS else F.shiftrightunsigned("key", key_bits - DIRECTORY_BITS)
-    return stored(once.select("*", slot.cast("int").alias("slot"), F.sha2("norm", 256).alias("text_sha256"), F.monotonically_increasing_id().alias("at")), "texts")
+    return stored(once.select(*docs.columns, "key", slot.cast("int").alias("slot"), F.sha2("norm", 256).alias("text_sha256"), F.monotonically_increasing_id().alias("at")), "texts")
 
 
-def build_index(texts: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame]:
-    """The stored (directory, index) of ``texts``, as ``hashed`` returns it: slot, depth, bucket; bucket, depth, key, link, text_sha256, keep_id, keep_at, group_size.
+def build_index(texts: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame, tuple[DataFrame, ...]]:
+    """The stored (directory, index) of ``texts``, as ``hashed`` returns it, and ``texts`` split by whether a row may have copies.
+
+    directory: slot, depth, bucket. index: bucket, depth, key, link, text_sha256, keep_id, keep_at, group_size.
 
     Inserts are pre-aggregated by key in each input task, so a key that a third of all rows have sends one row a task. A key that
     one row has is an entry as it stands. Where several rows have a key their texts are fetched and compared byte by byte within the
     key, again a partial aggregation first; texts that differ are a chain of entries, numbered by ``link``. So copies are found in
-    the buckets' keys, and only texts with a shared key are moved. Owner tasks each write one range of buckets.
+    the buckets' keys, and only texts whose key may be shared are moved. Owner tasks each write one range of buckets.
     """
-    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "at"))
-    keys = texts.groupBy("slot", "key").agg(F.count("*").alias("group_size"), least.alias("best"), F.min("text_sha256").alias("text_sha256"))
-    keys = stored(keys, "keys")
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "at")).alias("best")
+    sums = [F.count("*").alias("group_size"), least, F.min("text_sha256").alias("text_sha256")]
+    keys = stored(texts.groupBy("slot", "key").agg(*sums), "keys")
     slots = stored(directory(keys, capacity), "directory")
-    met = texts.join(keys.filter("group_size > 1").select("slot", "key"), ["slot", "key"], "left_semi")
-    compared = met.groupBy("slot", "key", "norm").agg(F.count("*").alias("group_size"), least.alias("best"), F.min("text_sha256").alias("text_sha256"))
-    entries = stored(keys.filter("group_size = 1").unionByName(compared.drop("norm")), "entries")
+    shared = keys.filter("group_size > 1").select("slot", "key")
+    parts = split_by(texts, ["slot", "key"], shared)
+    alone = split_by(keys, ["slot", "key"], shared)[1]
+    compared = parts[0].withColumn("norm", normalised(F.col("text"))).groupBy("slot", "key", "norm").agg(*sums)
+    entries = stored(alone.unionByName(compared.drop("norm")), "entries")
     owned = entries.join(F.broadcast(slots), "slot").repartitionByRange("bucket", "key")
     chain = Window.partitionBy("bucket", "key").orderBy("text_sha256")
     linked = owned.withColumn("link", F.row_number().over(chain) - 1).sortWithinPartitions("bucket", "key", "link")
-    return slots, stored(linked.select("bucket", "depth", "key", "link", "text_sha256", F.col("best.doc_id").alias("keep_id"), F.col("best.at").alias("keep_at"), "group_size"), "index")
+    return slots, stored(linked.select("bucket", "depth", "key", "link", "text_sha256", F.col("best.doc_id").alias("keep_id"), F.col("best.at").alias("keep_at"), "group_size"), "index"), parts
 
 
 def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, key_bits: int = KEY_BITS) -> DataFrame:
@@ -79,16 +83,21 @@ def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, key_bits: int = KEY_B
     ``docs`` are not read. An empty table gives none. ``capacity``: keys a bucket; ``key_bits``: 1 to 60, less of them only to
     test collisions. Native expressions only.
     """
-    texts = hashed(docs.select("doc_id", "text"), key_bits)
-    slots, index = build_index(texts, capacity)
-    asked = texts.select("doc_id", "slot", "key", "text_sha256").join(F.broadcast(slots.select("slot", "bucket")), "slot")
+    with scratch(docs.sparkSession) as keep:
+        texts = hashed(docs.select("doc_id", "text"), key_bits)
+        slots, index, _ = build_index(texts, capacity)
+        asked = stored(texts.select("doc_id", "slot", "key", "text_sha256"), "asked")
+        keep(slots, index, asked)
+    asked = asked.join(F.broadcast(slots.select("slot", "bucket")), "slot")
     found = asked.join(index.select("bucket", "key", "text_sha256", "keep_id", "group_size"), ["bucket", "key", "text_sha256"])
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def keep_first(docs: DataFrame, capacity: int = CAPACITY, key_bits: int = KEY_BITS) -> DataFrame:
     """One row of ``docs`` for each of its texts, with all its columns: the one that ``exact_dedup`` keeps; of repeated rows with its doc_id one."""
-    own = ["at", "slot", "key", "text_sha256", "norm"]
-    texts = hashed(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text"), key_bits)
-    _, index = build_index(texts, capacity)
-    return texts.drop(*own[1:]).join(index.select(F.col("keep_at").alias("at")), "at", "left_semi").select("row.*")
+    with scratch(docs.sparkSession) as keep:
+        texts = hashed(docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), "doc_id", "text"), key_bits)
+        _, index, (may, alone, few) = build_index(texts, capacity)
+        keep(texts, index, few)
+    own = [F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return alone.select(own).unionByName(may.join(index.select(F.col("keep_at").alias("at")), "at", "left_semi").select(own))

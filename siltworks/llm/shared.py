@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+Keys = list[str]
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; where that is unset, as in local tests, a new temporary one.
@@ -23,11 +27,63 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Paths that the open ``scratch`` blocks have stored, the innermost last.
+_OPEN: list[list[str]] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: the plan above starts from files, which outlive any executor."""
     path = f"{shared_dir(df.sparkSession)}/siltworks-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for table in tables:
+        _delete(table.sparkSession, table.stored_at)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path.rpartition("/")[0])
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable]:
+    """Deletes the tables stored within at its end. Those given to the function that it yields stay, as the result reads them, and pass to the block around it."""
+    made: list[str] = []
+    kept: set[str] = set()
+    _OPEN.append(made)
+    try:
+        yield lambda *tables: kept.update(t.stored_at for t in tables)
+    finally:
+        _OPEN.remove(made)
+        for path in made:
+            if path not in kept:
+                _delete(spark, path)
+            elif _OPEN:
+                _OPEN[-1].append(path)
+
+
+#: Bits of the hash prefixes that stand for a set of keys: at most 2**20 of them are broadcast, however large the set.
+PREFIX_BITS = 20
+
+
+def split_by(df: DataFrame, keys: Keys, wanted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows whose ``keys`` may be among those of ``wanted``, rows whose keys are not, the stored table that both read). Neither is shuffled.
+
+    Keys are told apart by a prefix of their hash, so the first part is for an exact join, which then moves little where few keys are wanted.
+    """
+    prefix = F.shiftrightunsigned(F.xxhash64(F.lit(20), *keys), 64 - PREFIX_BITS).alias("_prefix")
+    few = stored(wanted.select(prefix).distinct(), "prefixes")
+    dealt = df.select("*", prefix)
+    may, not_ = (dealt.join(F.broadcast(few), "_prefix", how).select(df.columns) for how in ("left_semi", "left_anti"))
+    return may, not_, few
 
 
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

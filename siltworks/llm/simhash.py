@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltworks.llm.components import components
-from siltworks.llm.shared import stored
+from siltworks.llm.shared import scratch, stored
 
 #: Bits of the blocks of a fingerprint. With at most 4 bits changed, at least 3 of the 7 blocks are equal.
 BLOCKS = (10, 9, 9, 9, 9, 9, 9)
@@ -203,11 +203,13 @@ def near_dedup(docs: DataFrame, width: int = 4, bits: int = 4, block: int = 3276
     zero and links like any other. Repeated rows get the same answer; a null doc_id gets a row but never names a component
     that has another. Only doc_id and text are read.
     """
-    marked = stored(fingerprints(docs, width), "fingerprints")
-    distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(fingerprint_links(distinct.select("fp"), bits, block), "src", "dst")
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = stored(rooted, "rooted")
-    names = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "names")
-    named = stored(rooted.select("fp", "root").join(names, "root").select("fp", "component_id"), "named")
+    with scratch(docs.sparkSession) as keep:
+        marked = stored(fingerprints(docs, width), "fingerprints")
+        distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+        roots = components(fingerprint_links(distinct.select("fp"), bits, block), "src", "dst")
+        rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        rooted = stored(rooted, "rooted")
+        names = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "names")
+        named = stored(rooted.select("fp", "root").join(names, "root").select("fp", "component_id"), "named")
+        keep(marked, named)
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -60,7 +60,7 @@ def test_exact_repeated_rows_and_empty(spark):
 
 def test_directory_splits(spark):
     docs = docs_of(spark, [f"t{i}" for i in range(200)])
-    slots, index = build_index(hashed(docs, 60), 10)
+    slots, index, _ = build_index(hashed(docs.select("doc_id", "text"), 60), 10)
     held = defaultdict(int)
     for r in index.collect():
         held[r.bucket, r.depth] += 1
@@ -74,7 +74,7 @@ def test_copies_are_found_in_the_chains_of_the_index(spark):
     for i, keep, n, _, sha in exact_brute([(r.doc_id, r.text) for r in docs.collect()]):
         want[sha] = (keep, n)
     for bits in (2, 60):
-        slots, index = build_index(hashed(docs.select("doc_id", "text"), bits), 4)
+        slots, index, _ = build_index(hashed(docs.select("doc_id", "text"), bits), 4)
         rows = index.collect()
         assert {r.text_sha256: (r.keep_id, r.group_size) for r in rows} == want and len(rows) == len(want)
         chains = defaultdict(list)
@@ -89,7 +89,11 @@ def test_the_answer_is_what_the_stored_index_says(spark, monkeypatch):
     from siltworks.llm import exact_dedup as module
 
     build = module.build_index
-    monkeypatch.setattr(module, "build_index", lambda *a: (build(*a)[0], build(*a)[1].withColumn("keep_id", F.lit(-7).cast("bigint"))))
+    monkeypatch.setattr(module, "build_index", lambda *a: altered(*build(*a)))
+
+    def altered(slots, index, parts):
+        return slots, module.stored(index.withColumn("keep_id", F.lit(-7).cast("bigint")), "altered"), parts
+
     assert {r.keep_id for r in exact_dedup(docs_of(spark, ["a", "b", "a"])).collect()} == {-7}
 
 
