@@ -127,15 +127,24 @@ def load_link(source: DataFrame, target: DataFrame, keys: Keys, load_src: str, l
     return insert_new(link, target, ["link_key"])
 
 
-def load_satellite(source: DataFrame, target: DataFrame, key: str, attributes: Keys, load_src: str, load_dt: Column, mode: str = "by_hashdiff") -> DataFrame:
+def load_satellite(source: DataFrame, target: DataFrame, key: str, attributes: Keys, load_src: str, load_dt: Column, mode: str = "by_hashdiff", order: str | None = None) -> DataFrame:
     """key, attributes, hashdiff, load_dt, load_src.
 
-    by_hashdiff adds a row only where the newest row of its key has other attributes; by_load_dt where the key has none at that load_dt;
+    by_hashdiff adds a row only where the newest row of its key has other attributes. A source with several states of a key needs ``order``, the column
+    with the time of each: then every change of state is a row, whose load_dt is that time. by_load_dt where the key has none at that load_dt;
     by_event where the same key and attributes are not there yet.
     """
     rows = source.select(key, *attributes).dropna(subset=[key]).distinct().select("*", hashdiff(*[F.col(a) for a in attributes]).alias("hashdiff"), load_dt.alias("load_dt"), F.lit(load_src).alias("load_src"))
     if mode == "by_event":
         return insert_new(rows, target, [key, "hashdiff"])
+    if order is not None:
+        states = source.select(key, *attributes, F.col(order).cast("timestamp").alias("load_dt"), F.lit(load_src).alias("load_src")).dropna(subset=[key, "load_dt"]).distinct()
+        states = states.withColumns({"hashdiff": hashdiff(*[F.col(a) for a in attributes]), "_new": F.lit(True)})
+        now = target.groupBy(key).agg(F.max_by(F.struct(*[x for x in target.columns if x != key]), "load_dt").alias("_now")).select(key, "_now.*", F.lit(False).alias("_new"))
+        late = states.join(now.select(F.col(key).alias("_key"), F.col("load_dt").alias("_since")), F.col(key) == F.col("_key"), "left").filter(F.col("_since").isNull() | (F.col("load_dt") > F.col("_since")))
+        every = late.select(*target.columns, "_new").unionByName(now.select(*target.columns, "_new"))
+        before = F.lag("hashdiff").over(Window.partitionBy(key).orderBy("load_dt", "hashdiff"))
+        return target.unionByName(every.withColumn("_before", before).filter(F.col("_new") & ~F.col("hashdiff").eqNullSafe(F.col("_before"))).select(target.columns))
     one = top_per(rows, [key], [F.asc("hashdiff")])
     if mode == "by_load_dt":
         return insert_new(one, target, [key, "load_dt"])

@@ -28,7 +28,7 @@ def sample_df(df: DataFrame, fraction: float, key: str | None = None, seed: int
     """A sample; with ``key``, by a hash of it, the same for any layout of the table."""
     if key is None:
         return df.sample(False, fraction, seed)
-    return df.filter(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(10_000)) < int(fraction * 10_000))
+    return df.filter(F.conv(F.substring(F.md5(F.concat_ws("_", F.lit(seed), key)), 1, 8), 16, 10).cast("bigint") % 10_000 < int(fraction * 10_000))
 
 
 def canonical_pair(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -90,17 +90,19 @@ def has_history(df: DataFrame, key: str, period_start: str, events: DataFrame, e
     return joined.withColumn("has_history", F.coalesce(F.col("_first") < F.col(period_start), F.lit(False))).drop("_key", "_first")
 
 
-def asof_join(df: DataFrame, versions: DataFrame, key: str, ts: str, start: str = "active_from", end: str = "active_to", fallback: str | None = None, row_id: Keys | None = None) -> DataFrame:
-    """Each row with the version of its key that holds at ``ts``, start <= ts < end.
+def asof_join(df: DataFrame, versions: DataFrame, key: str, ts: str, start: str = "active_from", end: str = "active_to", fallback: str | None = None) -> DataFrame:
+    """Each row with the version of its key that holds at ``ts``, start <= ts < end; versions of a key don't overlap.
 
-    With fallback 'latest', a row without such a version gets the key's newest; ``row_id`` then names the columns that identify a row.
+    With fallback 'latest', a row without such a version gets the key's newest, one row that is aggregated beforehand. Repeated rows stay repeated.
     """
     v = versions.withColumnRenamed(key, "_key")
     if fallback is None:
         return df.join(v, (F.col(key) == F.col("_key")) & (F.col(ts) >= F.col(start)) & (F.col(ts) < F.col(end))).drop("_key")
-    fits = (F.col(ts) >= F.col(start)) & (F.col(ts) < F.col(end))
-    joined = df.join(v, F.col(key) == F.col("_key")).drop("_key").withColumn("_fits", fits)
-    return top_per(joined, row_id or df.columns, [F.desc("_fits"), F.desc(start)]).drop("_fits")
+    rest = [x for x in v.columns if x != "_key"]
+    newest = v.groupBy(F.col("_key").alias("_last_key")).agg(F.max_by(F.struct(*rest), F.struct(start, *[x for x in rest if x != start])).alias("_last"))
+    held = df.join(v, (F.col(key) == F.col("_key")) & (F.col(ts) >= F.col(start)) & (F.col(ts) < F.col(end)), "left")
+    both = held.join(newest, F.col(key) == F.col("_last_key"))
+    return both.select(*df.columns, *[F.when(F.col("_key").isNotNull(), F.col(x)).otherwise(F.col(f"_last.{x}")).alias(x) for x in rest])
 
 
 def full_diff(a: DataFrame, b: DataFrame, keys: Keys, columns: Keys) -> DataFrame:
@@ -141,9 +143,8 @@ def nearest(df: DataFrame, places: DataFrame, lat: str, lon: str, most_places: i
     ``places``: city_id, city, lat, lng. They are one broadcast row, so no row is multiplied and none is shuffled; for more than
     ``most_places`` this raises, as that row would no longer be small.
     """
-    n = places.count()
-    if n > most_places:
-        raise ValueError(f"{n} places are too many to hold beside each row")
+    if places.limit(most_places + 1).count() > most_places:
+        raise ValueError(f"over {most_places} places are too many to hold beside each row")
     listed = places.agg(F.array_sort(F.collect_list(F.struct("city_id", "city", F.col("lat").alias("place_lat"), F.col("lng").alias("place_lng")))).alias("_places"))
     measured = F.transform("_places", lambda p: F.struct(haversine_km(F.col(lat), F.col(lon), p["place_lat"], p["place_lng"]).alias("distance_km"), p["city_id"].alias("city_id"), p["city"].alias("city")))
     joined = df.join(F.broadcast(listed)).withColumn("_near", F.when(F.col(lat).isNotNull() & F.col(lon).isNotNull(), F.array_min(measured)))
@@ -280,8 +281,13 @@ def stays(df: DataFrame, key: str, ts: str, tiebreak: str, value: str, min_days:
     """(key, value, island, start, end, last_ts, days) of unbroken runs of a value that span at least ``min_days`` days."""
     before = with_previous(df, [key], [ts, tiebreak], value, "_before")
     marked = island_id(before, [key], [ts, tiebreak], F.col("_before").isNotNull() & (F.col("_before") != F.col(value)))
-    spans = marked.groupBy(key, value, "island").agg(F.min(F.to_date(ts)).alias("start"), F.max(F.to_date(ts)).alias("end"), F.max(ts).alias("last_ts"))
-    return spans.withColumn("days", F.datediff("end", "start") + 1).filter(F.col("days") >= min_days)
+    return island_summary(marked, [key, value], ts).filter(F.col("days") >= min_days)
+
+
+def island_summary(islands: DataFrame, keys: Keys, ts: str, island: str = "island") -> DataFrame:
+    """start, end, last_ts and days of each island."""
+    spans = islands.groupBy(*keys, island).agg(F.min(F.to_date(ts)).alias("start"), F.max(F.to_date(ts)).alias("end"), F.max(ts).alias("last_ts"))
+    return spans.withColumn("days", F.datediff("end", "start") + 1)
 
 
 def latest_stay(spans: DataFrame, key: str) -> DataFrame:
@@ -313,6 +319,13 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def except_all_counts(a: DataFrame, b: DataFrame) -> DataFrame:
-    """How many rows only one side has, counting repeats."""
-    only_a, only_b = a.exceptAll(b).agg(F.count("*").alias("n")), b.exceptAll(a).agg(F.count("*").alias("n"))
-    return only_a.select(F.lit("only_a").alias("side"), "n").unionByName(only_b.select(F.lit("only_b").alias("side"), "n"))
+    """How many rows only one side has, counting repeats; one pass over both."""
+    both = a.select("*", F.lit(1).alias("_side")).unionByName(b.select("*", F.lit(-1).alias("_side")))
+    more = both.groupBy(*a.columns).agg(F.sum("_side").alias("_more"))
+    counts = more.agg(F.sum(F.greatest("_more", F.lit(0))).alias("a"), F.sum(F.greatest(-F.col("_more"), F.lit(0))).alias("b"))
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(f"only_{s}").alias("side"), F.coalesce(s, F.lit(0)).alias("n")) for s in "ab"])))
+
+
+def sample_rows(df: DataFrame, n: int = 20) -> DataFrame:
+    """Up to ``n`` rows to look at, whichever come first."""
+    return df.limit(n)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from siltworks.functions.scalar import as_date, city_zone, md5_bigint, month_of, safe_div, signed, to_local, week_of
 from siltworks.operators import relational as R
@@ -38,9 +39,13 @@ def zone_mart(ods: DataFrame, types: tuple[str, ...] = ("message", "reaction", "
     first = R.first_per(ods.filter((F.col("event_type") == types[0]) & F.col("user_id").isNotNull()), ["user_id"], "ts", "event_id").withColumn("event_type", F.lit(registration))
     every = R.union_all(ods.filter(F.col("event_type").isin(*types)), first).withColumns({"week": week_of(F.col("ts")), "month": month_of(F.col("ts"))})
     kinds = [*types, registration]
-    weeks = R.pivot_counts(every, ["city_id", "week"], "event_type", kinds, "week_").withColumn("month", month_of(F.col("week")))
-    months = R.pivot_counts(every, ["city_id", "month"], "event_type", kinds, "month_")
-    return R.left_join(weeks, months, ["city_id", "month"])
+    # one pass: each small count goes to its week and its month, and a window brings the month's sums to the weeks
+    counted = R.pivot_counts(every, ["city_id", "week", "month"], "event_type", kinds)
+    periods = F.explode(F.array(F.struct(F.lit("week").alias("kind"), F.col("week").alias("period")), F.struct(F.lit("month").alias("kind"), F.col("month").alias("period")))).alias("x")
+    sums = counted.select("city_id", periods, *[f"n_{k}" for k in kinds]).groupBy("city_id", "x.kind", "x.period").agg(*[F.sum(f"n_{k}").alias(f"week_{k}") for k in kinds])
+    of = Window.partitionBy("city_id", "month")
+    both = sums.withColumn("month", month_of(F.col("period"))).withColumns({f"month_{k}": F.max(F.when(F.col("kind") == "month", F.col(f"week_{k}"))).over(of) for k in kinds})
+    return both.filter("kind = 'week'").select("city_id", "month", F.col("period").alias("week"), *[f"{p}_{k}" for p in ("week", "month") for k in kinds])
 
 
 def friend_recommendations(ods: DataFrame, subscriptions: DataFrame, messages: DataFrame, km: float = 1.0) -> DataFrame:
@@ -50,9 +55,10 @@ def friend_recommendations(ods: DataFrame, subscriptions: DataFrame, messages: D
     only, so a very large channel multiplies within its cities alone.
     """
     last = R.latest_per(ods.filter("user_id IS NOT NULL"), ["user_id"], "ts", "event_id").select("user_id", "city_id", "lat", "lon", "zone", "ts")
-    members = subscriptions.dropna().distinct().join(last, "user_id")
-    sides = [members.select("channel", "city_id", F.col("user_id").alias(f"user_{s}"), F.col("lat").alias(f"lat_{s}"), F.col("lon").alias(f"lon_{s}"), *(["zone", "ts"] if s == "left" else [])) for s in ("left", "right")]
-    pairs = sides[0].join(sides[1], ["channel", "city_id"]).filter("user_left < user_right")
+    # users at most ``km`` apart are in the same or neighbouring bands of latitude (a degree is over 110 km), so a large channel meets band by band
+    members = subscriptions.dropna().distinct().join(last, "user_id").withColumn("band", F.floor(F.col("lat") * (110 / km)))
+    sides = [members.select("channel", "city_id", F.col("user_id").alias(f"user_{s}"), F.col("lat").alias(f"lat_{s}"), F.col("lon").alias(f"lon_{s}"), *(["zone", "ts", "band"] if s == "left" else [F.explode(F.expr("sequence(band - 1, band + 1)")).alias("band")])) for s in ("left", "right")]
+    pairs = sides[0].join(sides[1], ["channel", "city_id", "band"]).filter("user_left < user_right")
     near = R.within_km(pairs, "lat_left", "lon_left", "lat_right", "lon_right", km)
     wrote = R.canonical_pair(messages, "user_from", "user_to").select(F.col("left").alias("user_left"), F.col("right").alias("user_right"))
     fresh = R.exclude(near.select("user_left", "user_right", "city_id", "zone", "ts").distinct(), wrote, ["user_left", "user_right"])
@@ -64,7 +70,7 @@ def f_sales(order_log: DataFrame, negative: str = "refunded") -> DataFrame:
 
     ``order_log``: uniq_id, date_time, customer_id, item_id, quantity, payment_amount, status.
     """
-    newest = R.distinct_on(order_log, ["uniq_id", "status"], "date_time", "item_id")
+    newest = R.top_per(order_log, ["uniq_id", "status"], [F.desc_nulls_last(x) for x in ("date_time", "item_id", "payment_amount", "quantity", "customer_id")])
     amount = F.col("payment_amount")
     return newest.select(md5_bigint(F.col("uniq_id")).alias("order_id"), as_date(F.col("date_time")).alias("date_id"), "item_id", "customer_id", "quantity", "status", safe_div(amount, F.col("quantity")).alias("price"), signed(amount, F.col("status"), negative).alias("payment_amount"))
 
@@ -87,8 +93,10 @@ def product_sales(bonus_events: DataFrame, orders: DataFrame, products: DataFram
     ``bonus_events``: event_value, JSON with order_id and product_payments; ``orders``: order_id, order_ts; ``products``: version_id, product_id, active_from, active_to.
     """
     lines = R.explode_json(bonus_events.select(F.get_json_object("event_value", "$.order_id").alias("order_id"), F.get_json_object("event_value", "$.product_payments").alias("payments")), "payments", "struct<product_id string, price decimal(14,2), quantity int, bonus_payment decimal(14,2), bonus_grant decimal(14,2)>")
-    newest = lines.select("order_id", "item.*").dropDuplicates(["order_id", "product_id"])
-    found = R.asof_join(newest.join(orders, "order_id"), products, "product_id", "order_ts", fallback="latest", row_id=["order_id", "product_id"])
+    split = lines.select("order_id", "item.*")
+    # of a product's lines in an order the greatest by price, quantity and bonuses counts
+    newest = R.top_per(split, ["order_id", "product_id"], [F.desc_nulls_last(x) for x in split.columns if x not in ("order_id", "product_id")])
+    found = R.asof_join(newest.join(orders, "order_id"), products, "product_id", "order_ts", fallback="latest")
     return found.select("order_id", "product_id", "version_id", F.col("quantity").alias("count"), "price", (F.col("price") * F.col("quantity")).cast("decimal(14,2)").alias("total_sum"), "bonus_payment", "bonus_grant")
 
 
@@ -110,8 +118,7 @@ def courier_ledger(deliveries: DataFrame, bands: list = PAYOUT_BANDS) -> DataFra
     """
     keyed = deliveries.withColumns({"settlement_year": F.year("order_ts"), "settlement_month": F.month("order_ts")})
     keys = ["courier_id", "settlement_year", "settlement_month"]
-    rates = keyed.groupBy(*keys).agg(F.avg("rate").alias("rate_avg"))
-    both = keyed.join(rates, keys)
+    both = keyed.withColumn("rate_avg", F.avg("rate").over(Window.partitionBy(*keys)))
     out = both.groupBy(*keys).agg(F.count_distinct("order_id").alias("orders_count"), F.sum("sum").alias("orders_total_sum"), F.max("rate_avg").alias("rate_avg"), R.payout(F.col("rate_avg"), F.col("sum"), bands).alias("courier_order_sum"), F.sum("tip_sum").alias("courier_tips_sum"))
     return out.withColumns({"order_processing_fee": F.col("orders_total_sum") * FEE, "courier_reward_sum": F.col("courier_order_sum") + F.col("courier_tips_sum") * TIPS_SHARE})
 
@@ -150,11 +157,30 @@ def load_group_activity(log: DataFrame, users: DataFrame, groups: DataFrame, lin
     return load_link(known, link, ["user_id", "group_id"], load_src, load_dt), load_satellite(keyed, satellite, "link_id", ["event", "event_dt"], load_src, load_dt, "by_event")
 
 
-def guest_vault(orders: DataFrame, empty: dict[str, DataFrame], load_src: str, load_dt: Column) -> dict[str, DataFrame]:
-    """Hubs of users, products, categories and orders, the links of an order's user and products, and the status satellite, from lines (order_id, user_id, product_id, category, status)."""
-    out = {f"hub_{k}": load_hub(orders, empty[f"hub_{k}"], k, load_src, load_dt) for k in ("user_id", "product_id", "category", "order_id")}
-    out |= {f"link_{a}_{b}": load_link(orders, empty[f"link_{a}_{b}"], [a, b], load_src, load_dt) for a, b in (("order_id", "user_id"), ("order_id", "product_id"), ("product_id", "category"))}
-    return out | {"sat_order_id": load_satellite(orders, empty["sat_order_id"], "order_id", ["status"], load_src, load_dt)}
+#: Business keys, links of them, and what describes them (fixed names).
+HUBS = ("user_id", "product_id", "category", "restaurant_id", "order_id")
+LINKS = (("order_id", "user_id"), ("order_id", "product_id"), ("product_id", "restaurant_id"), ("product_id", "category"))
+SATELLITES = {"user_names": ("user_id", ["user_name"]), "product_names": ("product_id", ["product_name"]), "restaurant_names": ("restaurant_id", ["restaurant_name"]), "order_cost": ("order_id", ["cost", "payment"]), "order_status": ("order_id", ["status"])}
+
+
+def empty_vault(lines: DataFrame) -> dict[str, DataFrame]:
+    """The tables of the guest vault without rows."""
+    types, of = dict(lines.dtypes), lines.sparkSession.createDataFrame
+    out = {f"hub_{k}": of([], f"hub_key string, {k} string, load_dt timestamp, load_src string") for k in HUBS}
+    out |= {f"link_{a}_{b}": of([], f"link_key string, hk_{a} string, hk_{b} string, load_dt timestamp, load_src string") for a, b in LINKS}
+    for name, (key, attributes) in SATELLITES.items():
+        out[f"sat_{name}"] = of([], ", ".join(f"{c} {types[c]}" for c in (key, *attributes)) + ", hashdiff string, load_dt timestamp, load_src string")
+    return out
+
+
+def guest_vault(lines: DataFrame, vault: dict[str, DataFrame], load_src: str, load_dt: Column, order: str | None = None) -> dict[str, DataFrame]:
+    """The five hubs, four links and five satellites after order lines (order_id, user_id, user_name, restaurant_id, restaurant_name, product_id, product_name, category, cost, payment, status).
+
+    ``order``: the time of each line, where a key may have several states in one batch.
+    """
+    out = {f"hub_{k}": load_hub(lines, vault[f"hub_{k}"], k, load_src, load_dt) for k in HUBS}
+    out |= {f"link_{a}_{b}": load_link(lines, vault[f"link_{a}_{b}"], [a, b], load_src, load_dt) for a, b in LINKS}
+    return out | {f"sat_{n}": load_satellite(lines, vault[f"sat_{n}"], key, attributes, load_src, load_dt, order=order) for n, (key, attributes) in SATELLITES.items()}
 
 
 def guest_counters(lines: DataFrame, counters: DataFrame, ledger: DataFrame, by: str, once_per_order: bool) -> tuple[DataFrame, DataFrame]:

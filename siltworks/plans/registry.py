@@ -21,10 +21,10 @@ class Tables:
     """The tables of one folder by name, read when asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self._dir = spark, sf_dir
+        self.spark, self.path = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self._dir}/{name}.parquet")
+        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
 
 def query(sql: str | None = None):
@@ -128,7 +128,7 @@ def p17_active(t):
     return R.active_at(spans, "o_orderdate", "ends", F.lit("1997-06-15").cast("timestamp")).select("o_orderkey")
 
 
-@query()
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE CAST(concat('0x', substr(md5(concat('42_', l_orderkey)), 1, 8)) AS UBIGINT) % 10000 < 1000")
 def p18_sample(t):
     return R.sample_df(t.lineitem, 0.1, "l_orderkey").select("l_orderkey", "l_linenumber")
 
@@ -201,9 +201,9 @@ def j13_resolve_keys(t):
     return R.row_counts({"resolved": good, "unresolved": bad}).withColumnRenamed("table_name", "side")
 
 
-@query("SELECT l_orderkey, l_linenumber AS line, l_partkey AS part FROM lineitem WHERE l_orderkey < 500")
+@query("SELECT l_orderkey, l_linenumber AS line, l_partkey AS part FROM lineitem")
 def j14_explode_json(t):
-    documents = t.lineitem.filter("l_orderkey < 500").groupBy("l_orderkey").agg(F.to_json(F.collect_list(F.struct(c("l_linenumber").alias("line"), c("l_partkey").alias("part")))).alias("items"))
+    documents = t.lineitem.groupBy("l_orderkey").agg(F.to_json(F.collect_list(F.struct(c("l_linenumber").alias("line"), c("l_partkey").alias("part")))).alias("items"))
     return R.explode_json(documents, "items", "struct<line int, part bigint>").select("l_orderkey", "item.*")
 
 
@@ -272,10 +272,10 @@ def a7_ratio_of_distinct(t):
     return R.ratio_of_distinct(t.lineitem, ["l_returnflag"], "l_partkey", "l_suppkey").withColumn("ratio", c("ratio").cast("double"))
 
 
-@query(f"WITH p AS ({PAYMENTS}), r AS ({RATES}) SELECT p.currency_code, CAST(sum(amount * coalesce(rate, 1)) AS DOUBLE) AS amount_total FROM p LEFT JOIN r ON p.currency_code = r.currency_code AND CAST(transaction_dt AS DATE) = CAST(rate_ts AS DATE) GROUP BY 1")
+@query(f"WITH p AS ({PAYMENTS}), r AS ({RATES}) SELECT p.currency_code, CAST(CAST(sum(amount * coalesce(rate, 1)) AS DECIMAL(18,2)) AS DOUBLE) AS amount_total FROM p LEFT JOIN r ON p.currency_code = r.currency_code AND CAST(transaction_dt AS DATE) = CAST(rate_ts AS DATE) GROUP BY 1")
 def a8_sum_converted(t):
     rated = R.join_rate(derived(t, PAYMENTS), derived(t, RATES), "currency_code", "transaction_dt", 420)
-    return rated.groupBy("currency_code").agg(F.sum(c("amount") * F.coalesce("rate", F.lit(1))).cast("double").alias("amount_total"))
+    return R.sum_converted(rated, ["currency_code"], "amount", "rate").withColumn("amount_total", c("amount_total").cast("double"))
 
 
 @query("SELECT l_suppkey, CAST(sum(abs(CAST(-l_extendedprice AS DECIMAL(18,2)))) FILTER (WHERE l_returnflag = 'R') AS DOUBLE) AS amount FROM lineitem GROUP BY 1")
@@ -418,10 +418,10 @@ def h19_json(t):
 
 def _halves(t):
     log = t.orders.select("o_orderkey", (c("o_orderkey") % 4000).alias("k"), c("o_orderstatus").alias("s"), c("o_orderdate").alias("dt"))
-    return log.filter("o_orderkey % 3 = 0"), L.upsert(log.filter("o_orderkey % 3 = 1"), log.limit(0), ["k"], "dt")
+    return log.filter("dt >= '1998-01-01'"), L.upsert(log.filter("dt < '1998-01-01'"), log.limit(0), ["k"], "dt")
 
 
-_LOG = "WITH l AS (SELECT o_orderkey, o_orderkey % 4000 AS k, o_orderstatus AS s, o_orderdate AS dt FROM orders), src AS (SELECT * FROM l WHERE o_orderkey % 3 = 0), tgt AS (SELECT * FROM l WHERE o_orderkey % 3 = 1 QUALIFY row_number() OVER (PARTITION BY k ORDER BY dt DESC, o_orderkey DESC, s DESC) = 1), new AS (SELECT * FROM src QUALIFY row_number() OVER (PARTITION BY k ORDER BY dt DESC, o_orderkey DESC, s DESC) = 1) "
+_LOG = "WITH l AS (SELECT o_orderkey, o_orderkey % 4000 AS k, o_orderstatus AS s, o_orderdate AS dt FROM orders), src AS (SELECT * FROM l WHERE dt >= TIMESTAMP '1998-01-01'), tgt AS (SELECT * FROM l WHERE dt < TIMESTAMP '1998-01-01' QUALIFY row_number() OVER (PARTITION BY k ORDER BY dt DESC, o_orderkey DESC, s DESC) = 1), new AS (SELECT * FROM src QUALIFY row_number() OVER (PARTITION BY k ORDER BY dt DESC, o_orderkey DESC, s DESC) = 1) "
 
 
 @query(_LOG + "SELECT * FROM tgt WHERE s NOT IN (SELECT s FROM src WHERE s <> 'P') UNION ALL SELECT * FROM src WHERE s <> 'P'")
@@ -548,54 +548,83 @@ def m1_events_with_cities(t):
     return _ods(t).select("event_id", "user_id", "city_id", "city", F.round("distance_km", 6).alias("distance_km"))
 
 
-@query(_ODS + ", e AS (SELECT *, lag(city) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM o WHERE event_type = 'message') SELECT user_id, max_by(city, struct_pack(t := ts, e := event_id)) AS act_city, CAST(count(*) FILTER (WHERE b IS NULL OR b <> city) AS BIGINT) AS travel_count, array_to_string(list(city ORDER BY ts, event_id) FILTER (WHERE b IS NULL OR b <> city), ',') AS travels FROM e GROUP BY 1")
+_LOCAL = "timezone('Australia/Sydney', timezone('UTC', {}))"
+
+
+def _geo_sql(days):
+    return (
+        ", e AS (SELECT *, lag(city) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM o WHERE event_type = 'message'), i AS (SELECT *, sum(CASE WHEN b <> city THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM e), "
+        f"st AS (SELECT user_id, city, island, max(ts) AS last_ts FROM i GROUP BY 1, 2, 3 HAVING date_diff('day', min(CAST(ts AS DATE)), max(CAST(ts AS DATE))) + 1 >= {days}), h AS (SELECT user_id, city AS home_city FROM st QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY last_ts DESC, island DESC) = 1) "
+        "SELECT user_id, act_city, home_city, travel_count, travels, local_time FROM (SELECT user_id, max_by(city, struct_pack(t := ts, e := event_id)) AS act_city, CAST(count(*) FILTER (WHERE b IS NULL OR b <> city) AS BIGINT) AS travel_count, array_to_string(list(city ORDER BY ts, event_id) FILTER (WHERE b IS NULL OR b <> city), ',') AS travels, "
+        + _LOCAL.format("max(ts)") + " AS local_time FROM e GROUP BY 1) LEFT JOIN h USING (user_id)"
+    )
+
+
+def _geo(ods, days):
+    return M.user_geo_report(ods, days).select("user_id", "act_city", "home_city", "travel_count", F.array_join("travel_array", ",").alias("travels"), "local_time")
+
+
+@query(_ODS + _geo_sql(1))
 def m2_user_geo_report(t):
-    return M.user_geo_report(_ods(t), 1).select("user_id", "act_city", "travel_count", F.array_join("travel_array", ",").alias("travels"))
+    return _geo(_ods(t), 1)
+
+
+# users who stay in one city but for their events with an id that 97 divides: stays of 27 days and returns
+_STILL = PLACED.replace("((user_id * 7 + event_id) % 25)", "((user_id + CASE WHEN event_id % 97 = 0 THEN 3 ELSE 0 END) % 25)")
+
+
+@query(_ODS.replace(PLACED, _STILL) + _geo_sql(27))
+def m2_home_city_27(t):
+    return _geo(M.events_with_cities(derived(t, _STILL), derived(t, CITIES)), 27)
+
+
+_KINDS = ("message", "reaction", "subscription", "registration")
 
 
-@query(_ODS + ", f AS (SELECT ts, city_id, event_type FROM o WHERE event_type IN ('message', 'reaction', 'subscription') UNION ALL (SELECT ts, city_id, 'registration' FROM o WHERE event_type = 'message' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1)), w AS (SELECT city_id, CAST(date_trunc('week', ts) AS DATE) AS week, count(*) FILTER (WHERE event_type = 'message') AS week_message, count(*) FILTER (WHERE event_type = 'registration') AS week_registration FROM f GROUP BY 1, 2), mo AS (SELECT city_id, CAST(date_trunc('month', ts) AS DATE) AS month, count(*) FILTER (WHERE event_type = 'message') AS month_message, count(*) FILTER (WHERE event_type = 'subscription') AS month_subscription FROM f GROUP BY 1, 2) SELECT w.city_id, week, CAST(date_trunc('month', week) AS DATE) AS month, week_message, week_registration, month_message, month_subscription FROM w LEFT JOIN mo ON w.city_id = mo.city_id AND mo.month = CAST(date_trunc('month', week) AS DATE)")
+def _counts_sql(prefix):
+    return ", ".join(f"count(*) FILTER (WHERE event_type = '{k}') AS {prefix}_{k}" for k in _KINDS)
+
+
+@query(_ODS + f", f AS (SELECT ts, city_id, event_type FROM o WHERE event_type IN ('message', 'reaction', 'subscription') UNION ALL (SELECT ts, city_id, 'registration' FROM o WHERE event_type = 'message' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1)), w AS (SELECT city_id, CAST(date_trunc('week', ts) AS DATE) AS week, {_counts_sql('week')} FROM f GROUP BY 1, 2), mo AS (SELECT city_id AS c, CAST(date_trunc('month', ts) AS DATE) AS m, {_counts_sql('month')} FROM f GROUP BY 1, 2) SELECT w.*, CAST(date_trunc('month', week) AS DATE) AS month, mo.* EXCLUDE (c, m) FROM w LEFT JOIN mo ON w.city_id = c AND m = CAST(date_trunc('month', week) AS DATE)")
 def m3_zone_mart(t):
-    return M.zone_mart(_ods(t)).select("city_id", "week", "month", "week_message", "week_registration", "month_message", "month_subscription")
+    return M.zone_mart(_ods(t))
 
 
-@query(_ODS + f", l AS (SELECT user_id, city_id, lat, lon FROM o QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1), s AS (SELECT DISTINCT user_id, event_id % 40 AS channel FROM events WHERE event_type = 'purchase'), g AS (SELECT DISTINCT a.user_id AS user_left, b.user_id AS user_right, x.city_id, x.lat AS a_lat, x.lon AS a_lon, y.lat AS b_lat, y.lon AS b_lon FROM s a JOIN s b ON a.channel = b.channel AND a.user_id < b.user_id JOIN l x ON x.user_id = a.user_id JOIN l y ON y.user_id = b.user_id AND x.city_id = y.city_id) SELECT user_left, user_right, city_id FROM g WHERE {_KM} <= 3 AND NOT EXISTS (SELECT 1 FROM events e WHERE least(e.user_id, e.event_id % 150) = user_left AND greatest(e.user_id, e.event_id % 150) = user_right AND e.event_type = 'view')")
+@query(_ODS + f", l AS (SELECT user_id, city_id, lat, lon, ts FROM o QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1), s AS (SELECT DISTINCT user_id, event_id % 40 AS channel FROM events WHERE event_type = 'purchase'), g AS (SELECT DISTINCT a.user_id AS user_left, b.user_id AS user_right, x.city_id, x.ts, x.lat AS a_lat, x.lon AS a_lon, y.lat AS b_lat, y.lon AS b_lon FROM s a JOIN s b ON a.channel = b.channel AND a.user_id < b.user_id JOIN l x ON x.user_id = a.user_id JOIN l y ON y.user_id = b.user_id AND x.city_id = y.city_id) SELECT user_left, user_right, city_id, {_LOCAL.format('ts')} AS local_time FROM g WHERE {_KM} <= 3 AND NOT EXISTS (SELECT 1 FROM events e WHERE least(e.user_id, e.event_id % 150) = user_left AND greatest(e.user_id, e.event_id % 150) = user_right AND e.event_type = 'view')")
 def m4_friend_recommendations(t):
     subscriptions = t.events.filter("event_type = 'purchase'").select("user_id", (c("event_id") % 40).alias("channel"))
     messages = t.events.filter("event_type = 'view'").select(c("user_id").alias("user_from"), (c("event_id") % 150).alias("user_to"))
-    return M.friend_recommendations(_ods(t), subscriptions, messages, 3.0).select("user_left", "user_right", "city_id")
-
+    return M.friend_recommendations(_ods(t), subscriptions, messages, 3.0)
 
-_SALES = f"WITH s AS (SELECT *, CAST(date_time AS DATE) AS date_id FROM ({ORDER_LOG}) QUALIFY row_number() OVER (PARTITION BY uniq_id, status ORDER BY date_time DESC, item_id DESC, payment_amount DESC, quantity DESC) = 1) "
 
+_SALES = f"WITH s AS (SELECT *, CAST(date_time AS DATE) AS date_id FROM ({ORDER_LOG}) QUALIFY row_number() OVER (PARTITION BY uniq_id, status ORDER BY date_time DESC, item_id DESC, payment_amount DESC, quantity DESC, customer_id DESC) = 1) "
 
-def _log(t):
-    # rows that tie in all that f_sales orders by differ in amount: keep the greatest
-    return derived(t, ORDER_LOG).groupBy("uniq_id", "date_time", "customer_id", "item_id", "status").agg(F.max(F.struct("payment_amount", "quantity")).alias("x")).select("uniq_id", "date_time", "customer_id", "item_id", "status", "x.*")
 
-
-@query(_SALES + "SELECT status, count(*) AS n, CAST(sum(CASE WHEN status = 'refunded' THEN -payment_amount ELSE payment_amount END) AS DOUBLE) AS amount FROM s GROUP BY 1")
+@query(_SALES + "SELECT CAST(CASE WHEN v >= 9223372036854775808 THEN v - 18446744073709551616 ELSE v END AS BIGINT) AS order_id, date_id, item_id, customer_id, quantity, status, CAST(payment_amount AS DOUBLE) / nullif(quantity, 0) AS price, CAST(CASE WHEN status = 'refunded' THEN -payment_amount ELSE payment_amount END AS DOUBLE) AS payment_amount FROM (SELECT *, CAST(CAST(concat('0x', substr(md5(uniq_id), 1, 16)) AS UBIGINT) AS HUGEINT) AS v FROM s)")
 def m5_f_sales(t):
-    return M.f_sales(_log(t)).groupBy("status").agg(F.count("*").alias("n"), F.sum("payment_amount").cast("double").alias("amount"))
+    return M.f_sales(derived(t, ORDER_LOG)).withColumn("payment_amount", c("payment_amount").cast("double"))
 
 
 @query(_SALES + ", p AS (SELECT CAST(date_trunc('week', date_id) AS DATE) AS period_id, item_id, customer_id, count(*) FILTER (WHERE status = 'shipped') AS k, count(*) FILTER (WHERE status = 'refunded') AS r, sum(payment_amount) FILTER (WHERE status = 'shipped') AS a, sum(payment_amount) FILTER (WHERE status = 'refunded') AS b FROM s GROUP BY 1, 2, 3), h AS (SELECT customer_id, min(date_id) AS first FROM s WHERE status = 'shipped' GROUP BY 1), x AS (SELECT p.*, coalesce(first < period_id, false) AS old FROM p LEFT JOIN h USING (customer_id)) SELECT period_id, item_id, count(*) FILTER (WHERE k = 1 AND NOT old) AS new_customers_count, count(*) FILTER (WHERE k > 1 OR old) AS returning_customers_count, count(*) FILTER (WHERE r > 0) AS refunded_customer_count, CAST(coalesce(sum(a) FILTER (WHERE k = 1 AND NOT old), 0) AS DOUBLE) AS new_customers_revenue, CAST(coalesce(sum(a) FILTER (WHERE k > 1 OR old), 0) AS DOUBLE) AS returning_customers_revenue, CAST(coalesce(sum(b), 0) AS DOUBLE) AS customers_refunded FROM x GROUP BY 1, 2")
 def m6_customer_retention(t):
-    out = M.f_customer_retention(M.f_sales(_log(t)))
+    out = M.f_customer_retention(M.f_sales(derived(t, ORDER_LOG)))
     return out.withColumns({k: c(k).cast("double") for k in ("new_customers_revenue", "returning_customers_revenue", "customers_refunded")})
 
 
-@query("WITH l AS (SELECT l_orderkey, sum(CAST(l_extendedprice AS DECIMAL(14,2))) AS s FROM lineitem GROUP BY 1) SELECT o_custkey % 30 AS restaurant_id, CAST(o_orderdate AS DATE) AS order_date, count(DISTINCT o_orderkey) AS orders_count, CAST(sum(s) AS DOUBLE) AS total FROM l JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' GROUP BY 1, 2")
+@query("WITH l AS (SELECT l_orderkey, CAST(l_extendedprice AS DECIMAL(14,2)) AS s, CAST(l_discount * 100 AS DECIMAL(14,2)) AS p, CAST(l_tax * 100 AS DECIMAL(14,2)) AS g FROM lineitem), r AS (SELECT o_custkey % 30 AS restaurant_id, c_name AS restaurant_name, CAST(o_orderdate AS DATE) AS order_date, count(DISTINCT o_orderkey) AS orders_count, sum(s) AS total, sum(p) AS bonus, sum(g) AS bonus_grant FROM l JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey % 30 WHERE o_orderstatus = 'F' GROUP BY ALL) SELECT restaurant_id, restaurant_name, order_date, orders_count, CAST(total AS DOUBLE) AS total_sum_total, CAST(bonus AS DOUBLE) AS bonus_payment_total, CAST(bonus_grant AS DOUBLE) AS bonus_grant_total, CAST(CAST(total * 0.25 AS DECIMAL(14,2)) AS DOUBLE) AS order_processing_fee, CAST(total - CAST(total * 0.25 AS DECIMAL(14,2)) - bonus AS DOUBLE) AS restaurant_reward_sum FROM r")
 def m8_settlement_report(t):
-    facts = t.lineitem.select(c("l_orderkey").alias("order_id"), c("l_extendedprice").cast("decimal(14,2)").alias("total_sum"), F.lit(0).cast("decimal(14,2)").alias("bonus_payment"), F.lit(0).cast("decimal(14,2)").alias("bonus_grant"))
+    money = [c(a).cast("decimal(14,2)").alias(b) if a == "l_extendedprice" else (c(a) * 100).cast("decimal(14,2)").alias(b) for a, b in (("l_extendedprice", "total_sum"), ("l_discount", "bonus_payment"), ("l_tax", "bonus_grant"))]
     orders = t.orders.select(c("o_orderkey").alias("order_id"), (c("o_custkey") % 30).alias("restaurant_id"), F.to_date("o_orderdate").alias("order_date"), F.when(c("o_orderstatus") == "F", "Closed").otherwise("open").alias("status"))
     restaurants = t.customer.filter("c_custkey < 30").select(c("c_custkey").alias("restaurant_id"), c("c_name").alias("restaurant_name"))
-    return M.settlement_report(facts, orders, restaurants).select("restaurant_id", "order_date", "orders_count", c("total_sum_total").cast("double").alias("total"))
+    out = M.settlement_report(t.lineitem.select(c("l_orderkey").alias("order_id"), *money), orders, restaurants)
+    return out.withColumns({k: c(k).cast("double") for k in ("total_sum_total", "bonus_payment_total", "bonus_grant_total", "order_processing_fee", "restaurant_reward_sum")})
 
 
-@query("WITH d AS (SELECT user_id AS courier_id, event_id, CAST(year(ts) AS INTEGER) AS y, CAST(month(ts) AS INTEGER) AS m, event_id % 3 + 3.0 AS rate, value, value * 0.1 AS tip FROM events), a AS (SELECT courier_id, y, m, avg(rate) AS r FROM d GROUP BY 1, 2, 3) SELECT courier_id, y AS settlement_year, m AS settlement_month, count(DISTINCT event_id) AS orders_count, round(sum(value), 6) AS orders_total_sum, round(sum(CASE WHEN r < 4 THEN greatest(value * 0.05, 100) WHEN r < 4.5 THEN greatest(value * 0.07, 150) WHEN r < 4.9 THEN greatest(value * 0.08, 175) ELSE greatest(value * 0.10, 200) END) + sum(tip) * 0.95, 6) AS courier_reward_sum FROM d JOIN a USING (courier_id, y, m) GROUP BY 1, 2, 3")
+@query("WITH d AS (SELECT user_id AS courier_id, event_id, CAST(year(ts) AS INTEGER) AS y, CAST(month(ts) AS INTEGER) AS m, event_id % 3 + 3.0 AS rate, value, value * 0.1 AS tip FROM events), a AS (SELECT courier_id, y, m, avg(rate) AS r FROM d GROUP BY 1, 2, 3), z AS (SELECT courier_id, y, m, count(DISTINCT event_id) AS n, sum(value) AS s, max(r) AS r, sum(CASE WHEN r < 4 THEN greatest(value * 0.05, 100) WHEN r < 4.5 THEN greatest(value * 0.07, 150) WHEN r < 4.9 THEN greatest(value * 0.08, 175) ELSE greatest(value * 0.10, 200) END) AS p, sum(tip) AS tips FROM d JOIN a USING (courier_id, y, m) GROUP BY 1, 2, 3) SELECT courier_id, y AS settlement_year, m AS settlement_month, n AS orders_count, round(s, 6) AS orders_total_sum, round(r, 6) AS rate_avg, round(p, 6) AS courier_order_sum, round(tips, 6) AS courier_tips_sum, round(s * 0.25, 6) AS order_processing_fee, round(p + tips * 0.95, 6) AS courier_reward_sum FROM z")
 def m9_courier_ledger(t):
     deliveries = t.events.select(c("user_id").alias("courier_id"), c("event_id").alias("order_id"), c("ts").alias("order_ts"), (c("event_id") % 3 + 3.0).alias("rate"), c("value").alias("sum"), (c("value") * 0.1).alias("tip_sum"))
-    return M.courier_ledger(deliveries).select("courier_id", "settlement_year", "settlement_month", "orders_count", F.round("orders_total_sum", 6).alias("orders_total_sum"), F.round("courier_reward_sum", 6).alias("courier_reward_sum"))
+    rounded = {k: F.round(k, 6) for k in ("orders_total_sum", "courier_order_sum", "courier_tips_sum", "order_processing_fee", "courier_reward_sum")}
+    return M.courier_ledger(deliveries).withColumns(rounded | {"rate_avg": F.round("rate_avg", 6)})
 
 
 @query("WITH g AS (SELECT user_id % 40 AS group_id, min(ts) AS registered FROM events GROUP BY 1 ORDER BY 2, 1 LIMIT 10), a AS (SELECT event_id % 40 AS group_id, count(DISTINCT user_id) AS n FROM events WHERE event_type = 'signup' GROUP BY 1), w AS (SELECT event_id % 40 AS group_id, count(DISTINCT user_id) AS n FROM events WHERE event_type = 'view' AND value > 100 GROUP BY 1) SELECT a.group_id, a.n AS cnt_added_users, coalesce(w.n, 0) AS cnt_users_in_group_with_messages, coalesce(w.n, 0) / a.n AS group_conversion FROM a JOIN g USING (group_id) LEFT JOIN w USING (group_id)")
@@ -605,11 +634,11 @@ def m10_group_conversion(t):
     return M.group_conversion(by_group.filter("event_type = 'signup'").select("group_id", "user_id"), groups, by_group.filter("event_type = 'view' AND value > 100").select("group_id", "user_id"))
 
 
-_METRICS = f"WITH p AS (SELECT * FROM ({PAYMENTS}) QUALIFY row_number() OVER (PARTITION BY operation_id ORDER BY transaction_dt DESC, amount DESC) = 1), r AS ({RATES}), z AS (SELECT CAST(transaction_dt AS DATE) AS date_update, p.currency_code AS currency_from, CAST(sum(amount * coalesce(rate, 1)) AS DOUBLE) AS amount_total, count(DISTINCT operation_id) AS cnt_transactions, count(DISTINCT account_number_from) AS cnt_accounts_make_transactions FROM p LEFT JOIN r ON p.currency_code = r.currency_code AND CAST(transaction_dt AS DATE) = CAST(rate_ts AS DATE) WHERE account_number_from >= 0 AND amount > 0 GROUP BY 1, 2) "
+_METRICS = f"WITH p AS (SELECT * FROM ({PAYMENTS}) QUALIFY row_number() OVER (PARTITION BY operation_id ORDER BY transaction_dt DESC, amount DESC) = 1), r AS ({RATES}), z AS (SELECT CAST(transaction_dt AS DATE) AS date_update, p.currency_code AS currency_from, CAST(sum(amount * coalesce(rate, 1)) AS DOUBLE) AS amount_total, count(DISTINCT operation_id) AS cnt_transactions, CAST(CAST(count(DISTINCT operation_id) / count(DISTINCT account_number_from) AS DECIMAL(18,2)) AS DOUBLE) AS avg_transactions_per_account, count(DISTINCT account_number_from) AS cnt_accounts_make_transactions FROM p LEFT JOIN r ON p.currency_code = r.currency_code AND CAST(transaction_dt AS DATE) = CAST(rate_ts AS DATE) WHERE account_number_from >= 0 AND amount > 0 GROUP BY 1, 2) "
 
 
 def _metrics(t):
-    return M.global_metrics(derived(t, PAYMENTS), derived(t, RATES)).select("date_update", "currency_from", c("amount_total").cast("double").alias("amount_total"), "cnt_transactions", "cnt_accounts_make_transactions")
+    return M.global_metrics(derived(t, PAYMENTS), derived(t, RATES)).withColumns({k: c(k).cast("double") for k in ("amount_total", "avg_transactions_per_account")})
 
 
 @query(_METRICS.replace("CAST(sum(amount * coalesce(rate, 1)) AS DOUBLE)", "CAST(CAST(sum(amount * coalesce(rate, 1)) AS DECIMAL(18,2)) AS DOUBLE)") + "SELECT * FROM z")
@@ -659,7 +688,7 @@ LATE_VERSIONS = "SELECT user_id, version_id, active_from, coalesce(lead(active_f
 @query(f"WITH v AS ({LATE_VERSIONS}), r AS (SELECT DISTINCT l_orderkey, l_partkey, o_custkey AS user_id, l_shipdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1) SELECT l_orderkey, l_partkey, l_shipdate, version_id FROM r JOIN v ON r.user_id = v.user_id QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_partkey, l_shipdate, r.user_id ORDER BY (l_shipdate >= active_from AND l_shipdate < active_to) DESC, active_from DESC) = 1")
 def j10_asof_latest(t):
     rows = t.lineitem.filter("l_linenumber = 1").join(t.orders, c("l_orderkey") == c("o_orderkey")).select("l_orderkey", "l_partkey", c("o_custkey").alias("user_id"), "l_shipdate").distinct()
-    found = R.asof_join(rows, derived(t, LATE_VERSIONS), "user_id", "l_shipdate", fallback="latest", row_id=rows.columns)
+    found = R.asof_join(rows, derived(t, LATE_VERSIONS), "user_id", "l_shipdate", fallback="latest")
     return found.select("l_orderkey", "l_partkey", "l_shipdate", "version_id")
 
 
@@ -761,3 +790,37 @@ def m13_guest_counters(t):
     for part in (lines.filter("order_id % 2 = 0"), lines):  # the second batch repeats the first
         counters, ledger = M.guest_counters(part, counters, ledger, "category", True)
     return counters
+
+
+# -- scalar functions, satellites and sources that the above don't reach
+
+
+@query("SELECT event_id, CAST(CAST(json_extract_string(props, '$.k') AS DECIMAL(10,2)) AS DOUBLE) AS amount, json_extract_string(props, '$.k') AS first, CAST(CAST(value AS DECIMAL(12,2)) AS DOUBLE) AS money, TRY_CAST(substr(event_type, 1, 1) AS INTEGER) AS tried, date_trunc('day', ts) AS day, date_trunc('second', ts) AS parsed, date_trunc('second', ts) AS from_document, CAST(event_id AS VARCHAR) AS document_id, 'Australia/' || CASE WHEN event_type = 'click' THEN 'Perth' ELSE 'Sydney' END AS zone, timezone('Australia/Perth', timezone('UTC', date_trunc('second', ts))) AS local FROM events")
+def h18_scalars(t):
+    ts, props = c("ts"), c("props")
+    document = F.to_json(F.struct(F.struct(c("event_id").cast("string").alias("$oid")).alias("_id"), F.struct((F.unix_timestamp(ts) * 1000).alias("$date")).alias("at")))
+    return t.events.select(
+        "event_id", S.json_dec(props, "$.k", 10, 2).cast("double").alias("amount"), S.first_path(props, "$.absent", "$.k").alias("first"), S.to_decimal(c("value"), 12, 2).cast("double").alias("money"), S.try_as(F.substring("event_type", 1, 1), "int").alias("tried"),
+        S.day_floor(ts).alias("day"), S.parse_ts(F.date_format(ts, "dd.MM.yyyy HH:mm:ss"), "dd.MM.yyyy HH:mm:ss").alias("parsed"), S.document_ts(document, "$.at").alias("from_document"), S.document_id(document, "$.id", "$._id").alias("document_id"),
+        S.city_zone(c("event_type"), {"click": "Australia/Perth"}).alias("zone"), S.to_local(S.to_second(ts), F.lit("Australia/Perth")).alias("local"),
+    )
+
+
+@query("SELECT user_id AS k, event_type AS s, ts AS load_dt FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM (SELECT user_id, ts, max(event_type) AS event_type FROM events GROUP BY 1, 2)) WHERE b IS DISTINCT FROM event_type")
+def l14_satellite_of_changes(t):
+    states = t.events.groupBy(c("user_id").alias("k"), "ts").agg(F.max("event_type").alias("s"))
+    target = t.spark.createDataFrame([], "k bigint, s string, hashdiff string, load_dt timestamp, load_src string")
+    for part in (states.filter("ts < '2024-01-15'"), states):  # the second batch repeats the first
+        target = L.load_satellite(part, target, "k", ["s"], "log", time0(), order="ts")
+    return target.select("k", "s", "load_dt")
+
+
+@query("SELECT 'hub_' || k AS table_name, n FROM (SELECT 'user_id' AS k, count(DISTINCT o_custkey) AS n FROM j UNION ALL SELECT 'product_id', count(DISTINCT l_partkey) FROM j UNION ALL SELECT 'category', count(DISTINCT p_brand) FROM j UNION ALL SELECT 'restaurant_id', count(DISTINCT l_suppkey % 10) FROM j UNION ALL SELECT 'order_id', count(DISTINCT l_orderkey) FROM j) "
+       "UNION ALL SELECT 'link_order_id_user_id', count(*) FROM (SELECT DISTINCT l_orderkey, o_custkey FROM j) UNION ALL SELECT 'link_order_id_product_id', count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey FROM j) UNION ALL SELECT 'link_product_id_restaurant_id', count(*) FROM (SELECT DISTINCT l_partkey, l_suppkey % 10 FROM j) UNION ALL SELECT 'link_product_id_category', count(*) FROM (SELECT DISTINCT l_partkey, p_brand FROM j) "
+       "UNION ALL SELECT 'sat_user_names', count(DISTINCT o_custkey) FROM j UNION ALL SELECT 'sat_product_names', count(DISTINCT l_partkey) FROM j UNION ALL SELECT 'sat_restaurant_names', count(DISTINCT l_suppkey % 10) FROM j UNION ALL SELECT 'sat_order_cost', count(DISTINCT l_orderkey) FROM j UNION ALL SELECT 'sat_order_status', count(DISTINCT l_orderkey) FROM j".replace("FROM j", "FROM (SELECT * FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"))
+def m13_guest_vault(t):
+    j = t.lineitem.join(t.orders, c("l_orderkey") == c("o_orderkey")).join(t.part, c("l_partkey") == c("p_partkey"))
+    text = {"order_id": c("l_orderkey"), "user_id": c("o_custkey"), "user_name": F.concat(F.lit("u"), c("o_custkey")), "restaurant_id": c("l_suppkey") % 10, "restaurant_name": F.concat(F.lit("r"), c("l_suppkey") % 10), "product_id": c("l_partkey"), "product_name": c("p_name"), "category": c("p_brand"), "status": c("o_orderstatus")}
+    lines = j.select(*[v.cast("string").alias(k) for k, v in text.items()], c("o_totalprice").alias("cost"), c("o_totalprice").alias("payment"))
+    vault = M.guest_vault(lines, M.guest_vault(lines.filter("order_id % 2 = 0"), M.empty_vault(lines), "orders", time0()), "orders", time0())
+    return R.row_counts(vault)

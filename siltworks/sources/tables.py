@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from dataclasses import dataclass
 
@@ -27,6 +28,9 @@ class LakePaths:
     def ods(self, name: str) -> str:
         return self._at("ods", name)
 
+    def analytics(self, name: str) -> str:
+        return self._at("analytics", name)
+
     def dds(self, name: str) -> str:
         return self._at("dds", name)
 
@@ -128,3 +132,34 @@ def current(spark: SparkSession, base: str, name: str, schema: StructType | str)
             raise
         last = None
     return spark.createDataFrame([], schema) if last is None else spark.read.schema(spark.createDataFrame([], schema).schema).parquet(f"{base}/{last[0]}/{name}")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that ``spark.checkpoint.dir`` names, which all executors share; in a local session without one, below a temporary one."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def append_batch(df: DataFrame, base: str, name: str, batch_id: int) -> None:
+    """Write a micro-batch under its id. A batch that runs again replaces what it wrote; nothing that earlier batches wrote is read or written."""
+    df.write.mode("overwrite").parquet(f"{base}/{name}/batch={batch_id}")
+
+
+def read_batches(spark: SparkSession, base: str, name: str, schema: str) -> DataFrame:
+    """The rows of all batches with the number of their batch; none before the first."""
+    try:
+        return spark.read.schema(f"{schema}, batch bigint").parquet(f"{base}/{name}")
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], f"{schema}, batch bigint")
+
+
+def compact(spark: SparkSession, base: str, name: str, schema: str, into: str) -> None:
+    """Merge the batches of a table into one folder of the table ``into``; run it between streams, and delete the batches after."""
+    read_batches(spark, base, name, schema).drop("batch").write.mode("overwrite").parquet(f"{base}/{into}/batch=0")

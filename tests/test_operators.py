@@ -66,8 +66,9 @@ def test_versions_of_tables(spark, tmp_path):
 def test_asof_with_fallback(spark):
     versions = spark.createDataFrame([(1, "a", 0, 10), (1, "b", 10, 20)], "k int, v string, active_from int, active_to int")
     rows = spark.createDataFrame([(1, 1, 5), (2, 1, 10), (3, 1, 99), (4, 2, 5)], "id int, k int, t int")
-    got = R.asof_join(rows, versions, "k", "t", fallback="latest", row_id=["id"])
+    got = R.asof_join(rows, versions, "k", "t", fallback="latest")
     assert sorted((r.id, r.v) for r in got.collect()) == [(1, "a"), (2, "b"), (3, "b")]
+    assert R.asof_join(rows.union(rows), versions, "k", "t", fallback="latest").count() == 6
     assert sorted((r.id, r.v) for r in R.asof_join(rows, versions, "k", "t").collect()) == [(1, "a"), (2, "b")]
 
 
@@ -143,3 +144,63 @@ def test_stage_and_vault_sinks(spark, tmp_path):
     assert T.current(spark, str(tmp_path / "s"), "orders", "order_id string, user_id string, status string, at int").first().status == "done"
     assert T.current(spark, str(tmp_path / "v"), "sat_order_id", "order_id string, status string, hashdiff string, load_dt timestamp, load_src string").count() == 1
     assert T.current(spark, str(tmp_path / "v"), "link_order_id_user_id", "link_key string").count() == 1
+
+
+def test_satellite_keeps_each_change_of_a_batch(spark):
+    rows = [("o1", "new", "2024-01-01"), ("o1", "done", "2024-01-02"), ("o1", "done", "2024-01-03"), ("o1", "new", "2024-01-04"), ("o2", "a", "2024-01-01"), (None, "x", "2024-01-01")]
+    source = spark.createDataFrame(rows, "k string, s string, at string")
+    target = spark.createDataFrame([], "k string, s string, hashdiff string, load_dt timestamp, load_src string")
+    for part in (source.filter("at < '2024-01-03'"), source, source):
+        target = L.load_satellite(part, target, "k", ["s"], "x", now(), order="at")
+    assert [(r.k, r.s, r.load_dt.day) for r in target.orderBy("k", "load_dt").collect()] == [("o1", "new", 1), ("o1", "done", 2), ("o1", "new", 4), ("o2", "a", 1)]
+
+
+def test_orders_are_enriched_and_thinned(spark):
+    payload = '{"date": "d", "cost": 5.0, "payment": 4.0, "final_status": "CLOSED", "user": {"id": "u"}, "restaurant": {"id": "r"}, "order_items": [{"id": "b", "name": "B", "price": 1.0, "quantity": 2}, {"id": "a", "name": "A", "price": 3.0, "quantity": 1}, {"id": "b", "name": "B", "price": 1.0, "quantity": 1}]}'
+    raw = spark.createDataFrame([(f'{{"object_id": "{i}", "object_type": "order", "sent_dttm": "t{k}", "payload": {payload}}}',) for i, k in ((1, 1), (1, 2), (2, 1))] + [("broken",)], "value string")
+    orders, bad = X.parse_stream(raw, X.ORDER)
+    named = spark.createDataFrame([("u", "Ann")], "id string, name string")
+    menus = spark.createDataFrame([("r", "a", "soup")], "restaurant_id string, id string, category string")
+    out = X.enrich_orders(orders, named, named.limit(0), menus)
+    assert sorted(r.object_id for r in out.collect()) == ["1", "2"] and bad.count() == 1
+    enriched = X.parse_stream(out, X.ENRICHED)[0]
+    p = enriched.filter("object_id = '1'").first().payload
+    assert (p.id, p.status, p.user.name, p.restaurant.id, p.restaurant.name) == ("1", "CLOSED", "Ann", "r", None)
+    assert [(x.id, x.category, x.quantity) for x in p.products] == [("b", "", 2), ("a", "soup", 1), ("b", "", 1)]
+    thin = X.parse_stream(X.thin_messages(enriched), X.THIN)[0].filter("object_id = '2'").first().payload
+    assert thin.user_id == "u" and [x.category for x in thin.products] == ["", "soup", ""]
+    assert X.order_lines(enriched).count() == 6
+
+
+def test_options_of_topics_and_databases():
+    assert T.kafka_options("h:1") == {"kafka.bootstrap.servers": "h:1"}
+    login = T.kafka_options("h:1", "u", "p")
+    assert login["kafka.security.protocol"] == "SASL_SSL" and 'username="u" password="p"' in login["kafka.sasl.jaas.config"]
+
+
+def test_messages_batches_and_rows_to_look_at(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "id int, v string")
+    assert sorted(r.value for r in T.as_messages(df).collect()) == ['{"id":1,"v":"a"}', '{"id":2}']
+    base = str(tmp_path)
+    assert T.read_batches(spark, base, "t", "id int, v string").count() == 0
+    for _ in range(2):
+        T.append_batch(df, base, "t", 4)
+    assert sorted(tuple(r) for r in T.read_batches(spark, base, "t", "id int, v string").collect()) == [(1, "a", 4), (2, None, 4)]
+    T.compact(spark, base, "t", "id int, v string", "whole")
+    assert T.read_batches(spark, base, "whole", "id int, v string").count() == 2
+    T.write_lake(df, f"{base}/flat")
+    assert spark.read.parquet(f"{base}/flat").count() == 2
+    assert R.sample_rows(df, 1).count() == 1 and T.LakePaths("b/").analytics("x") == "b/analytics/x"
+
+
+def test_schema_report_and_order(spark):
+    df = spark.createDataFrame([("a",), ("b",), ("b",)], "k string")
+    assert [(r.table_name, r.position, r.column_name, r.data_type, r.nullable) for r in D.describe_schema(spark, {"t": df}).collect()] == [("t", 1, "k", "string", True)]
+    assert [r.k for r in R.count_by(df, ["k"]).collect()] == ["b", "a"]
+    assert D.check_rules(df, {"some": "k IS NOT NULL"}).agg(D.all_pass(None)).first()[0]
+
+
+def test_places_are_bounded(spark):
+    places = spark.range(4).selectExpr("id AS city_id", "'c' AS city", "0D AS lat", "0D AS lng")
+    with pytest.raises(ValueError):
+        R.nearest(spark.createDataFrame([(0.0, 0.0)], "lat double, lon double"), places, "lat", "lon", 3)
