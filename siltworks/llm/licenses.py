@@ -22,73 +22,105 @@ TEMPLATES = {
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.",),
     "CC0-1.0": ("Released under the CC0 1.0 public domain license.",),
 }
+_NO_WARRANTY = "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_3 = " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} for more details. You should have received a copy of the GNU {0} along with this program."
+#: Bodies of licences and their usual file headers, compared with header blocks and whole files (fixed wordings).
+BODIES = {
+    "MIT": "MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _NO_WARRANTY,
+    "ISC": "ISC License. Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS.",
+    "BSD-2-Clause": _BSD + _BSD_END,
+    "BSD-3-Clause": _BSD + _BSD_3 + _BSD_END,
+    "Zlib": "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "GPL-2.0": _GNU.format("General Public License", 2),
+    "GPL-3.0": _GNU.format("General Public License", 3),
+    "LGPL-3.0": _GNU.format("Lesser General Public License", 3),
+    "AGPL-3.0": _GNU.format("Affero General Public License", 3),
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/.",
+}
+#: A whole text with one of these is compared as a licence file.
+BODY_KEYS = ("redistribution and use in source", "permission is hereby granted", "permission to use, copy", "provided 'as-is'", "free and unencumbered", "is free software", "may not use this file except", "general public license")
 #: A line, or file, without any of these words is no notice.
 KEYS = ("licen", "copyright", "public domain", "spdx", "permission is hereby granted")
 
 
-def _has_key(text):
+def _has_key(text, keys: tuple[str, ...] = KEYS):
     found = F.lit(False)
-    for key in KEYS:
+    for key in keys:
         found = found | F.contains(text, F.lit(key))
     return found
 
 
 def terms(text):
-    """Distinct lower-case words with their counts, as parallel rows: explode this."""
+    """The lower-case words of a text in order, an array."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
 def cosines(notices: DataFrame, templates: DataFrame) -> DataFrame:
-    """(notice, license, score): the best template of each distinct notice text, of equals the least license.
+    """(key, license, score): the best template of each distinct notice (key, notice), of equals the least license.
 
-    Weights are tf * (ln((n + 1) / (df + 1)) + 1), where n and df count the distinct notices and templates.
+    Weights are tf * (ln((n + 1) / (df + 1)) + 1), where n and df count the distinct notices and templates. Texts go by their keys, so the
+    rows of a long one are small.
     """
-    both = notices.select(F.col("notice").alias("text"), F.lit(None).cast("string").alias("license")).unionByName(templates.select("text", "license"))
-    words = both.select("text", "license", F.explode(terms(F.col("text"))).alias("term")).groupBy("text", "license", "term").agg(F.count("*").alias("tf"))
+    both = notices.select("key", F.lit(None).cast("string").alias("license"), F.col("notice").alias("text")).unionByName(templates.select(F.md5("text").alias("key"), "license", "text"))
+    words = both.select("key", "license", F.explode(terms(F.col("text"))).alias("term")).groupBy("key", "license", "term").agg(F.count("*").alias("tf"))
     words = stored(words, "words")
     df = stored(words.groupBy("term").agg(F.count("*").alias("df")), "df")
     n = both.count()
-    weighted = words.join(df, "term").select("text", "license", "term", (F.col("tf") * (F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1)).alias("weight"))
+    weighted = words.join(df, "term").select("key", "license", "term", (F.col("tf") * (F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1)).alias("weight"))
     weighted = stored(weighted, "weights")
-    norms = weighted.groupBy("text", "license").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    norms = weighted.groupBy("key", "license").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     of = weighted.filter("license IS NOT NULL")
-    of = of.join(norms.filter("license IS NOT NULL"), ["text", "license"]).select(F.col("text").alias("template"), F.col("license").alias("found"), "term", (F.col("weight") / F.col("norm")).alias("unit"))
-    dots = weighted.filter("license IS NULL").join(of, "term").groupBy("text", "template", "found").agg(F.sum(F.col("weight") * F.col("unit")).alias("dot"))
-    scored = dots.join(norms.filter("license IS NULL").select("text", "norm"), "text").select(F.col("text").alias("notice"), "found", F.round(F.col("dot") / F.col("norm"), 9).alias("score"))
-    best = scored.groupBy("notice").agg(F.min_by(F.struct("found", "score"), F.struct(-F.col("score"), "found")).alias("x"))
-    return best.select("notice", F.col("x.found").alias("license"), "x.score")
+    of = of.join(norms.filter("license IS NOT NULL"), ["key", "license"]).select(F.col("key").alias("template"), F.col("license").alias("found"), "term", (F.col("weight") / F.col("norm")).alias("unit"))
+    dots = weighted.filter("license IS NULL").join(of, "term").groupBy("key", "template", "found").agg(F.sum(F.col("weight") * F.col("unit")).alias("dot"))
+    scored = dots.join(norms.filter("license IS NULL").select("key", "norm"), "key").select("key", "found", F.round(F.col("dot") / F.col("norm"), 9).alias("score"))
+    best = scored.groupBy("key").agg(F.min_by(F.struct("found", "score"), F.struct(-F.col("score"), "found")).alias("x"))
+    return best.select("key", F.col("x.found").alias("license"), "x.score")
 
 
 def scan_licenses(files: DataFrame, spark: SparkSession, at_least: float = 0.6, templates: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """One row per distinct id of ``files`` (id, path, text): id, path, license, score, line, how ('own', 'inherited' or null), from_id.
 
-    Each line of the whole text that has a key word is compared with the templates; a file's own licence is that of the line
-    with the highest score from ``at_least`` on, then the first. A licence file is one named license*, licence* or copying*, or one whose first
+    Compared with the templates are each line of the whole text that has a key word, the header block (all up to the first blank line) and,
+    of licence files and texts that quote a licence's body, the whole text. A file's own licence is that of the unit
+    with the highest score from ``at_least`` on, then the first line; a line "SPDX-License-Identifier: X" scores 1 for a known X. A licence file is one named license*, licence* or copying*, or one whose first
     line with text is its notice; its licence holds for its directory, that of the least id where there are several. A file without
     its own inherits that of the nearest directory above it. Null or empty texts have no own licence; a null path is at the root.
-    Rows repeated with the same id are one. Native expressions only.
+    Rows repeated with the same id are one; a null id is an id like any other. Native expressions only.
     """
-    templates = TEMPLATES if templates is None else templates
-    known = spark.createDataFrame([(k, t) for k, texts in templates.items() for t in texts], "license string, text string")
-    asked = files.select("id", F.coalesce("path", F.lit("")).alias("path"), "text")
-    lines = asked.filter(_has_key(F.lower("text"))).select("id", F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("line", "notice"))
-    # the first line with text: whether all before it are blank
-    firsts = lines.filter(F.trim("notice") != "").groupBy("id").agg(F.min("line").alias("first"))
-    found = stored(lines.filter(_has_key(F.lower("notice"))), "notices")
-    scored = stored(cosines(found.select("notice").distinct(), known), "cosines")
-    own = found.join(scored.filter(F.col("score") >= at_least), "notice").groupBy("id").agg(F.min_by(F.struct("license", "score", "line"), F.struct(-F.col("score"), "line")).alias("x"))
-    own = stored(own.join(firsts, "id").select("id", "x.*", "first"), "own")
-    paths = asked.select("id", "path").groupBy("id").agg(F.min("path").alias("path"))
-    every = stored(paths.join(own, "id", "left"), "files")
+    every_text = {k: [*(TEMPLATES.get(k, ())), *([BODIES[k]] if k in BODIES else [])] for k in {**TEMPLATES, **BODIES}} if templates is None else templates
+    known = spark.createDataFrame([(k, t) for k, texts in every_text.items() for t in texts], "license string, text string")
+    asked = files.select(F.struct(F.col("id").isNull().alias("none"), "id").alias("file"), F.coalesce("path", F.lit("")).alias("path"), "text")
     name, folder = F.regexp_extract("path", r"[^/]*$", 0), F.regexp_extract("path", r"^/*(.*?)/+[^/]*$", 1)
     named = F.lower(name).rlike(r"^(licen[cs]e|copying)")
-    given = every.filter(F.col("license").isNotNull() & (named | (F.col("line") == F.col("first")))).groupBy(folder.alias("folder")).agg(F.min_by(F.struct("id", "license"), "id").alias("given"))
+    keyed = asked.filter(_has_key(F.lower("text"), KEYS + BODY_KEYS) | named)
+    lines = keyed.select("file", F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("line", "notice"))
+    # the first line with text: whether all before it are blank
+    firsts = stored(lines.filter(F.trim("notice") != "").groupBy("file").agg(F.min("line").alias("first")), "firsts")
+    head = keyed.select("file", F.regexp_extract("text", r"(?s)^\s*(.*?)(?:(?:\r\n|\r|\n)[ \t]*(?:\r\n|\r|\n)|\z)", 1).alias("notice")).filter(_has_key(F.lower("notice"), KEYS + BODY_KEYS))
+    whole = keyed.filter(named | _has_key(F.lower("text"), BODY_KEYS)).select("file", F.col("text").alias("notice"))
+    blocks = head.unionByName(whole).join(firsts, "file").select("file", F.col("first").alias("line"), "notice")
+    found = lines.filter(_has_key(F.lower("notice"))).select("file", "line", "notice").unionByName(blocks).withColumn("key", F.md5("notice"))
+    spdx = F.regexp_extract("notice", r"SPDX-License-Identifier:\s*([A-Za-z0-9.+-]+)", 1)
+    found = stored(found.withColumn("spdx", F.when(spdx.isin(*every_text), spdx)), "notices")
+    scored = stored(cosines(found.select("key", "notice").dropDuplicates(["key"]), known), "cosines")
+    judged = found.join(scored, "key", "left").select("file", "line", F.coalesce("spdx", "license").alias("license"), F.when(F.col("spdx").isNotNull(), 1.0).otherwise(F.col("score")).alias("score"))
+    own = judged.filter(F.col("score") >= at_least).groupBy("file").agg(F.min_by(F.struct("license", "score", "line"), F.struct(-F.col("score"), "line", "license")).alias("x"))
+    own = stored(own.join(firsts, "file").select("file", "x.*", "first"), "own")
+    paths = asked.select("file", "path").groupBy("file").agg(F.min("path").alias("path"))
+    every = stored(paths.join(own, "file", "left").select("file.id", "file", "path", "license", "score", "line", "first"), "files")
+    given = every.filter(F.col("license").isNotNull() & (named | (F.col("line") == F.col("first")))).groupBy(folder.alias("folder")).agg(F.min_by(F.struct("id", "license"), "file").alias("given"))
     given = stored(given, "folders")
     # every directory above a file, the nearest first: a path join for each
     folders = F.expr("transform(sequence(0, size(parts)), k -> struct(k AS depth, array_join(slice(parts, 1, k), '/') AS folder))")
-    above = every.filter("license IS NULL").select("id", F.filter(F.split(folder, "/"), lambda x: x != "").alias("parts")).select("id", F.explode(folders).alias("x"))
-    passed = above.select("id", "x.*").join(given, "folder").groupBy("id").agg(F.max_by("given", "depth").alias("given"))
-    out = every.join(passed.withColumnRenamed("id", "heir"), F.col("id") == F.col("heir"), "left")
+    above = every.filter("license IS NULL").select("file", F.filter(F.split(folder, "/"), lambda x: x != "").alias("parts")).select("file", F.explode(folders).alias("x"))
+    passed = above.select("file", "x.*").join(given, "folder").groupBy("file").agg(F.max_by("given", "depth").alias("given"))
+    out = every.join(passed, "file", "left")
     return out.select(
         "id",
         "path",

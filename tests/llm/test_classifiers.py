@@ -56,3 +56,44 @@ def test_pipeline_keeps_all_columns_and_drops_as_its_stages_say(spark):
         assert len(got) == len(set(got)) and (name != "exact_dedup" or got == [0, 1, 2, 3, 4, 5, 10])
     assert stage(spark, docs.limit(0), SF).count() == 0
     assert list(QUERIES) == [n for n in QUERIES if n.startswith("op")] + ["pipeline"]
+
+
+def test_ordinal_fit_is_a_maximum_and_orders_its_grades():
+    from collections import Counter
+
+    from siltworks.llm.toxicity import fit_ordinal
+
+    rng = np.random.default_rng(2)
+    bags = [Counter({w: int(n) for w, n in zip("abc", rng.integers(0, 6, 3)) if n}) for _ in range(400)]
+    z = np.array([1.5 * np.log1p(b["a"]) - 0.8 * np.log1p(b["b"]) + rng.logistic() * 0.7 for b in bags])
+    grades = np.searchsorted([0.3, 1.2, 2.2], z)
+    model = fit_ordinal(bags, grades, {"a", "b"})
+    assert model.weights["a"] > 1 > 0 > model.weights["b"] and (np.diff(model.cuts) > 0).all()
+
+    def likelihood(w, cuts):
+        score = np.array([sum(w[f] * np.log1p(n) for f, n in b.items() if f in w) for b in bags])
+        s = np.column_stack([np.ones(len(bags)), 1 / (1 + np.exp(cuts - score[:, None])), np.zeros(len(bags))])
+        return np.log(s[np.arange(len(bags)), grades] - s[np.arange(len(bags)), grades + 1]).mean() - 5e-5 * sum(x * x for x in w.values())
+
+    best = likelihood(model.weights, model.cuts)
+    for f in "ab":
+        for step in (-0.1, 0.1):
+            assert likelihood(model.weights | {f: model.weights[f] + step}, model.cuts) < best
+    for i in range(3):
+        for step in (-0.1, 0.1):
+            assert likelihood(model.weights, model.cuts + step * (np.arange(3) == i)) < best
+
+
+def test_crf_score_as_enumeration_over_lines():
+    from siltworks.llm.quality import fit_crf, line_features
+
+    texts = ["A good line of words here.\nAnother fine one follows it.", "xx!! 99\n\n%% $$", "Short one.", "zz9 ## !!\nzz9 ## !!", ""]
+    crf = fit_crf(texts, np.array([1, 0, 1, 0, 0]), np.ones(5), steps=40)
+    for text, score in zip(texts, crf.scores(texts)):
+        x, length, _ = line_features([text])
+        u = (x - crf.mean) / crf.scale @ crf.weights[:-1] + crf.weights[-1]
+        n = len(u)
+        of = {y: np.exp(sum(u[i] * y[i] for i in range(n)) + sum(crf.change[y[i - 1], y[i]] for i in range(1, n))) for y in itertools.product((0, 1), repeat=n)}
+        good = np.array([sum(v for y, v in of.items() if y[i]) for i in range(n)]) / sum(of.values())
+        p = np.clip((good * (length + 1.0)).sum() / (length + 1.0).sum(), 1e-6, 1 - 1e-6)
+        assert score == pytest.approx(1 / (1 + np.exp(-(crf.slope * np.log(p / (1 - p)) + crf.shift))))

@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import pytest
 
-from siltworks.llm.licenses import scan_licenses
+from siltworks.llm.licenses import BODIES, scan_licenses
 from siltworks.llm.queries import RULES
 from siltworks.llm.urls import filter_urls
 
@@ -79,3 +79,26 @@ def test_licenses(spark):
         8: ("GPL-3.0", "own", 8), 9: ("GPL-3.0", "inherited", 8), 10: (None, None, None), 11: ("MIT", "inherited", 1), 12: ("MIT", "own", 12),
     }
     assert scan_licenses(files.limit(0), spark).count() == 0
+
+
+def test_verdicts_of_the_models(spark):
+    rows = list(enumerate(URLS))
+    got = {x.page_id: x for x in filter_urls(spark.createDataFrame(rows, "page_id bigint, url string"), RULES).collect()}
+    held = [i for i, u in rows if zlib.crc32((u or "").encode()) % 5 == 0]
+    of = {v: [got[i].score for i in held if rule(*parts(URLS[i]))[1] == v] for v in ("allow", "block")}
+    assert of["allow"] and of["block"]
+    (m, d), (n, e) = ((sum(s) / len(s), (sum((x - sum(s) / len(s)) ** 2 for x in s) / len(s)) ** 0.5 + 1e-9) for s in (of["allow"], of["block"]))
+    threshold = (m * e + n * d) / (d + e)
+    free = [x for x in got.values() if x.rule is None]
+    assert len(free) > 15 and all(x.verdict == ("allow" if x.score >= threshold else "block") for x in free)
+    assert {x.verdict for x in free} == {"allow", "block"}
+
+
+def test_licence_bodies_headers_and_identifiers(spark):
+    wrap = lambda t: "\n".join(" * " + " ".join(t.split()[i : i + 9]) for i in range(0, len(t.split()), 9))
+    texts = {k: f"Copyright (c) 2020 Some One\n\n{b}\n" for k, b in BODIES.items()}
+    rows = [(i, f"d{i}/LICENSE", t) for i, t in enumerate(texts.values())]
+    rows += [(100, "x/a.c", "/*\n" + wrap(BODIES["GPL-2.0"]) + "\n */\n\nint main;"), (101, "y/b.c", "// SPDX-License-Identifier: BSD-2-Clause\ncode"), (102, "y/c.c", "code"), (None, "z/LICENSE", texts["ISC"]), (103, "z/k", "code"), (104, "w/k", "// SPDX-License-Identifier: Unheard-Of")]
+    got = {r.id: (r.license, r.how) for r in scan_licenses(spark.createDataFrame(rows, "id bigint, path string, text string"), spark).collect()}
+    assert [got[i] for i in range(len(texts))] == [(k, "own") for k in texts]
+    assert (got[100], got[101], got[102], got[None], got[103], got[104]) == (("GPL-2.0", "own"), ("BSD-2-Clause", "own"), ("BSD-2-Clause", "inherited"), ("ISC", "own"), ("ISC", "inherited"), (None, None))
