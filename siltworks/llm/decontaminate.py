@@ -38,14 +38,14 @@ def item_terms(items: DataFrame) -> DataFrame:
 def build_index(docs: DataFrame) -> DataFrame:
     """Stored postings (term, doc_id, text_hash, pos) of all words of whole texts; a row with null term has a document's number of words as pos.
 
-    The index is partitioned by document, as the input is, and sorted by term within each file: building it moves
-    no tokens between tasks, however often a term occurs, and a term's row groups are found by their statistics.
+    The index is partitioned by document and in the order of the texts, as the input is: building it neither moves tokens between
+    tasks, however often a term occurs, nor sorts them. Only the lists that are asked for are sorted by term, once they are read from it.
     """
     ends = F.when(F.element_at("w", 2) == "", 1).otherwise(0) + F.when((F.size("w") > 2) & (F.element_at("w", -1) == ""), 1).otherwise(0)
     listed = rows_of(docs).select(*ROW, tokens(F.col("text")).alias("w")).withColumn("n", F.size("w") - 1 - ends)
     each = listed.select(*ROW, "n", F.posexplode("w").alias("pos", "term")).filter("term <> ''")
     rows = each.select(F.when(F.col("pos") > 0, F.col("term")).alias("term"), *ROW, F.when(F.col("pos") > 0, F.col("pos")).otherwise(F.col("n")).alias("pos"))
-    return stored(rows.sortWithinPartitions("term", *ROW, "pos"), "postings")
+    return stored(rows, "postings")
 
 
 def term_counts(index: DataFrame, terms: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, lists: in
         anchors = stored(rarest(counts, terms, window, lists), "anchors")
         ranked = stored(rarest_of_items(counts, terms, near), "ranked")
         wanted = stored(anchors.select("term").unionByName(ranked.select("term")).distinct(), "wanted")
-        lists_ = stored(met(index.filter("term IS NOT NULL"), wanted), "lists")
+        lists_ = stored(met(index.filter("term IS NOT NULL"), wanted).sortWithinPartitions("term", *ROW, "pos"), "lists")
         matches = phrase_matches(docs, lists_, anchors, terms, window, lists)
         covered = "array_distinct(flatten(flatten(transform(found, f -> transform(f.starts, s -> sequence(f.shift + s, f.shift + s + f.width - 1))))))"
         ids = "array_sort(array_distinct(transform(found, f -> cast(f.item_id AS string))))"
