@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltworks.llm import bpe, decontaminate, exact_dedup, html_text, licenses, quality, simhash, stages, substrings, toxicity, urls
-from siltworks.llm.shared import rank_file, table
+from siltworks.llm import bpe, decontaminate, exact_dedup, fill_in_middle, html_text, licenses, periodic_runs, quality, simhash, stages, substrings, token_counts, toxicity, urls
+from siltworks.llm.shared import rank_file, table, vocabulary_file
 
 RULES: urls.Rules = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
@@ -56,11 +56,45 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
 
+def _with_periods(docs: DataFrame) -> DataFrame:
+    """A tenth of the documents, by the checksum of their id, has its words from one place on repeated with a period; all from the id and the text."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = docs.select("doc_id", "text", h.alias("h")).withColumn("w", F.when(F.col("h") % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "")))
+    sized = chosen.withColumns({"g": F.floor(F.col("h") / 10), "n": F.size("w")}).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    p = 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))
+    rest = F.col("n") - F.col("a")
+    unit = F.slice("w", (F.col("a") + 1).cast("int"), p.cast("int"))
+    again = F.slice(F.flatten(F.array_repeat(unit, F.ceil(rest / p).cast("int"))), F.lit(1), rest.cast("int"))
+    return sized.select("doc_id", F.when(F.col("n") > 0, F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a").cast("int")), again), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in documents of which a tenth is made periodic; of equal exponents the run with the least start, then period, is shown."""
+    found = periodic_runs.periodic_runs(_with_periods(table(spark, sf_dir, "documents")))
+    more = lambda a, b: a["length"] * b["period"] > b["length"] * a["period"]
+    nothing = F.lit(None).cast("struct<start: bigint, length: bigint, period: bigint>")
+    best = found.withColumn("best", F.aggregate("runs", nothing, lambda a, b: F.when(a.isNull() | more(b, a), b).otherwise(a)))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return best.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.*", F.expr("1000 * best.length DIV best.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document; null ids and repeated rows stay."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary_file("word_bpe_49k.json"), 2048)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document moved into its form and, from the form alone, back."""
+    out = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    digests = {"output_sha256": F.sha2("output", 256), "restored_sha256": F.sha2(fill_in_middle.restore(F.col("output"), F.col("form")), 256)}
+    return out.withColumns(digests).drop("output")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_decontamination, op4_bpe, op5_quality, op6_simhash, op7_url_filter, op8_license_scan, op9_exact_dedup, op10_html_text, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_decontamination, op4_bpe, op5_quality, op6_simhash, op7_url_filter, op8_license_scan, op9_exact_dedup, op10_html_text, op11_periodic_runs, op12_token_counts, op13_fill_in_middle, pipeline)}
 
 ORACLE_SQL = {
     "op3_decontamination": r"""
@@ -107,5 +141,20 @@ WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+',
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
        doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
 FROM n
+""",
+    "op13_fill_in_middle": r"""
+WITH u AS (
+    SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS unit, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), d AS (
+    SELECT doc_id, t, unit, len(unit) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(unit) + 1) AS x, CAST('0x' || h[9:16] AS BIGINT) % (len(unit) + 1) AS y,
+           CAST('0x' || h[17:24] AS BIGINT) % 100 AS whole, CAST('0x' || h[25:32] AS BIGINT) % 100 AS turned FROM u
+), f AS (
+    SELECT doc_id, t, n, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR whole >= 90 THEN 'plain' WHEN turned < 20 THEN 'spm' ELSE 'psm' END AS form,
+           array_to_string(unit[1 : least(x, y)], '') AS pre, array_to_string(unit[least(x, y) + 1 : greatest(x, y)], '') AS mid, array_to_string(unit[greatest(x, y) + 1 : n], '') AS suf FROM d
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN t ELSE pre || mid || suf END) AS restored_sha256
+FROM f
 """,
 }

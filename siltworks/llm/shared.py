@@ -98,7 +98,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def rank_file() -> str:
+def vocabulary_file(name: str) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return public_tokenizers.path(name)
+
+
+def rank_file() -> str:
+    return vocabulary_file("byte_bpe_multi_50k.tiktoken")
