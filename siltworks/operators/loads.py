@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from siltworks.functions.scalar import hashdiff, join_key, md5_uuid, time_parts
 from siltworks.operators.relational import top_per
+from siltworks.sources.commits import Change, Snapshot, Store
 
 Keys = list[str]
 END_OF_TIME = "2099-12-31"
@@ -41,10 +42,15 @@ def upsert(source: DataFrame, target: DataFrame, keys: Keys, order: str) -> Data
     return target.join(new.select(*keys), keys, "left_anti").select(target.columns).unionByName(new)
 
 
+def missing(source: DataFrame, target: DataFrame, keys: Keys) -> DataFrame:
+    """For each key that the target lacks the least source row."""
+    new = top_per(source.dropna(subset=keys), keys, [F.asc(c) for c in source.columns]).select(target.columns)
+    return new.join(target.select(*keys), keys, "left_anti").select(target.columns)
+
+
 def insert_new(source: DataFrame, target: DataFrame, keys: Keys) -> DataFrame:
     """The target and, for each key that it lacks, the least source row."""
-    new = top_per(source.dropna(subset=keys), keys, [F.asc(c) for c in source.columns]).select(target.columns)
-    return target.unionByName(new.join(target.select(*keys), keys, "left_anti").select(target.columns))
+    return target.unionByName(missing(source, target, keys))
 
 
 def scd1(source: DataFrame, target: DataFrame, key: str, columns: Keys, order: str) -> DataFrame:
@@ -105,6 +111,28 @@ def incremental(source: DataFrame, target: DataFrame, state: DataFrame, workflow
     return load(new, target), state.filter(F.col("workflow_key") != workflow).unionByName(entry)
 
 
+def load_since(store: Store, table: str, source: DataFrame, cursor: str, tiebreak: str, order: str, limit: int | None = None) -> int:
+    """Upsert the source's rows beyond the table's cursor, the pair of ``cursor`` and ``tiebreak``, at most ``limit`` of them in that order, into the buckets of
+    their keys. Rows and cursor are one commit; a writer that finds another one's commit there starts anew from that one's cursor, so no load is lost or
+    made twice. Where the table is empty the cursor is not heeded. Of source rows with one key the newest by ``order`` counts. Returns the commit's number.
+    """
+    kinds = {k: source.schema[k].dataType for k in (cursor, tiebreak)}
+    _, keys = store.tables[table]
+    taken: dict[int, dict] = {}
+
+    def change(now: Snapshot) -> dict[str, Change]:
+        at = now.state["cursors"].get(table) if not now.read(table).isEmpty() else None
+        last, tie = (F.lit(x).cast(kinds[k]) for x, k in zip(at or (None, None), (cursor, tiebreak)))
+        new = read_since(source, cursor, last if at else None, tiebreak, tie, limit)
+        top = new.agg(F.max(F.struct(cursor, tiebreak)).alias("top")).select(*[F.col(f"top.{k}").cast("string") for k in (cursor, tiebreak)]).first()
+        taken[now.number] = {table: list(top) if top[0] is not None else at}
+        touched = now.touched(table, new)
+        held = now.read(table, touched)
+        return {table: Change(upsert(new.select(held.columns), held, keys, order), touched)}
+
+    return store.update(change, cursors=lambda now: taken[now.number])
+
+
 def reprocess_window(df: DataFrame, day: str, last_day, days: int = 31) -> DataFrame:
     """Whole days from ``days`` before the last processed one on."""
     return df.filter(F.to_date(day) >= F.date_sub(F.lit(last_day).cast("date"), days))
@@ -113,44 +141,59 @@ def reprocess_window(df: DataFrame, day: str, last_day, days: int = 31) -> DataF
 # -- Data Vault
 
 
-def load_hub(source: DataFrame, target: DataFrame, business_key: str, load_src: str, load_dt: Column) -> DataFrame:
-    """hub_key (UUID of the business key's MD5), business key, load_dt, load_src."""
+def hub_rows(source: DataFrame, business_key: str, load_src: str, load_dt: Column) -> DataFrame:
+    """hub_key (UUID of the business key's MD5), business key, load_dt, load_src; null keys have no row."""
     keys = source.select(F.col(business_key).cast("string").alias(business_key)).dropna().distinct()
-    hub = keys.select(md5_uuid(F.col(business_key)).alias("hub_key"), business_key, load_dt.alias("load_dt"), F.lit(load_src).alias("load_src"))
-    return insert_new(hub, target, ["hub_key"])
+    return keys.select(md5_uuid(F.col(business_key)).alias("hub_key"), business_key, load_dt.alias("load_dt"), F.lit(load_src).alias("load_src"))
 
 
-def load_link(source: DataFrame, target: DataFrame, keys: Keys, load_src: str, load_dt: Column) -> DataFrame:
-    """link_key, one hub key for each of ``keys`` (hk_<name>), load_dt, load_src."""
+def load_hub(source: DataFrame, target: DataFrame, business_key: str, load_src: str, load_dt: Column) -> DataFrame:
+    """The hub with the business keys that it lacked."""
+    return insert_new(hub_rows(source, business_key, load_src, load_dt), target, ["hub_key"])
+
+
+def link_rows(source: DataFrame, keys: Keys, load_src: str, load_dt: Column) -> DataFrame:
+    """link_key, one hub key for each of ``keys`` (hk_<name>), load_dt, load_src; rows with a null key have none."""
     pairs = source.select(*keys).dropna().distinct()
-    link = pairs.select(md5_uuid(join_key(*[F.col(k) for k in keys])).alias("link_key"), *[md5_uuid(F.col(k)).alias(f"hk_{k}") for k in keys], load_dt.alias("load_dt"), F.lit(load_src).alias("load_src"))
-    return insert_new(link, target, ["link_key"])
+    return pairs.select(md5_uuid(join_key(*[F.col(k) for k in keys])).alias("link_key"), *[md5_uuid(F.col(k)).alias(f"hk_{k}") for k in keys], load_dt.alias("load_dt"), F.lit(load_src).alias("load_src"))
+
+
+def load_link(source: DataFrame, target: DataFrame, keys: Keys, load_src: str, load_dt: Column) -> DataFrame:
+    """The link with the combinations that it lacked."""
+    return insert_new(link_rows(source, keys, load_src, load_dt), target, ["link_key"])
 
 
-def load_satellite(source: DataFrame, target: DataFrame, key: str, attributes: Keys, load_src: str, load_dt: Column, mode: str = "by_hashdiff", order: str | None = None) -> DataFrame:
-    """key, attributes, hashdiff, load_dt, load_src.
+def satellite_changes(source: DataFrame, target: DataFrame, key: str, attributes: Keys, load_src: str, order: str | Column) -> DataFrame:
+    """The rows that a satellite lacks: key, attributes, hashdiff, load_dt, load_src, one for each change of state after the key's newest row.
 
-    by_hashdiff adds a row only where the newest row of its key has other attributes. A source with several states of a key needs ``order``, the column
-    with the time of each: then every change of state is a row, whose load_dt is that time. by_load_dt where the key has none at that load_dt;
-    by_event where the same key and attributes are not there yet.
+    ``order``: the time of each state, a column or, for a snapshot with one state a key, its time; it becomes load_dt. Of states of a key at one time the
+    one with the greatest hash counts. Rows with a null key or time have none.
+    """
+    at = (F.col(order) if isinstance(order, str) else order).cast("timestamp")
+    states = source.select(key, *attributes, at.alias("load_dt"), F.lit(load_src).alias("load_src")).dropna(subset=[key, "load_dt"])
+    states = states.withColumns({"hashdiff": hashdiff(*[F.col(a) for a in attributes]), "_new": F.lit(True)})
+    states = top_per(states, [key, "load_dt"], [F.desc("hashdiff")])
+    now = target.groupBy(key).agg(F.max_by(F.struct(*[x for x in target.columns if x != key]), "load_dt").alias("_now")).select(key, "_now.*", F.lit(False).alias("_new"))
+    every = states.select(*target.columns, "_new").unionByName(now.select(*target.columns, "_new"))
+    # rows of a key by time: the newest of the target comes first of those that count
+    of = Window.partitionBy(key)
+    since = F.max(F.when(~F.col("_new"), F.col("load_dt"))).over(of)
+    counted = every.withColumn("_since", since).filter("NOT _new OR _since IS NULL OR load_dt > _since")
+    before = F.lag("hashdiff").over(of.orderBy("load_dt"))
+    return counted.withColumn("_before", before).filter(F.col("_new") & ~F.col("hashdiff").eqNullSafe(F.col("_before"))).select(target.columns)
+
+
+def load_satellite(source: DataFrame, target: DataFrame, key: str, attributes: Keys, load_src: str, order: str | Column, mode: str = "by_change") -> DataFrame:
+    """The satellite (key, attributes, hashdiff, load_dt, load_src) with the rows that it lacked.
+
+    by_change: one for each change of state, see ``satellite_changes``. by_load_dt: where the key has none at that time. by_event: where the same key and attributes are
+    not there yet.
     """
-    rows = source.select(key, *attributes).dropna(subset=[key]).distinct().select("*", hashdiff(*[F.col(a) for a in attributes]).alias("hashdiff"), load_dt.alias("load_dt"), F.lit(load_src).alias("load_src"))
-    if mode == "by_event":
-        return insert_new(rows, target, [key, "hashdiff"])
-    if order is not None:
-        states = source.select(key, *attributes, F.col(order).cast("timestamp").alias("load_dt"), F.lit(load_src).alias("load_src")).dropna(subset=[key, "load_dt"]).distinct()
-        states = states.withColumns({"hashdiff": hashdiff(*[F.col(a) for a in attributes]), "_new": F.lit(True)})
-        now = target.groupBy(key).agg(F.max_by(F.struct(*[x for x in target.columns if x != key]), "load_dt").alias("_now")).select(key, "_now.*", F.lit(False).alias("_new"))
-        late = states.join(now.select(F.col(key).alias("_key"), F.col("load_dt").alias("_since")), F.col(key) == F.col("_key"), "left").filter(F.col("_since").isNull() | (F.col("load_dt") > F.col("_since")))
-        every = late.select(*target.columns, "_new").unionByName(now.select(*target.columns, "_new"))
-        before = F.lag("hashdiff").over(Window.partitionBy(key).orderBy("load_dt", "hashdiff"))
-        return target.unionByName(every.withColumn("_before", before).filter(F.col("_new") & ~F.col("hashdiff").eqNullSafe(F.col("_before"))).select(target.columns))
-    one = top_per(rows, [key], [F.asc("hashdiff")])
-    if mode == "by_load_dt":
-        return insert_new(one, target, [key, "load_dt"])
-    newest = target.groupBy(key).agg(F.max_by("hashdiff", "load_dt").alias("_now"))
-    changed = one.join(newest, key, "left").filter(~F.col("hashdiff").eqNullSafe(F.col("_now")))
-    return target.unionByName(changed.select(target.columns))
+    if mode == "by_change":
+        return target.unionByName(satellite_changes(source, target, key, attributes, load_src, order))
+    at = (F.col(order) if isinstance(order, str) else order).cast("timestamp")
+    rows = source.select(key, *attributes, hashdiff(*[F.col(a) for a in attributes]).alias("hashdiff"), at.alias("load_dt"), F.lit(load_src).alias("load_src"))
+    return insert_new(rows, target, [key, "hashdiff"] if mode == "by_event" else [key, "load_dt"])
 
 
 def apply_counters(batch: DataFrame, counters: DataFrame, ledger: DataFrame, unit: str, keys: Keys, once_per_unit: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -167,3 +210,8 @@ def land_documents(df: DataFrame, document: str, key_paths: Keys, ts_path: str,
     ids = F.coalesce(*[F.get_json_object(document, p) for path in key_paths for p in (f"{path}.$oid", path)])
     rows = df.select(ids.alias("object_id"), F.col(document).alias("object_value"), F.coalesce(F.try_to_timestamp(F.get_json_object(document, ts_path)), now).alias("update_ts"))
     return _newest(rows, ["object_id"], "update_ts")
+
+
+def read_documents(df: DataFrame, schema: str, key_paths: Keys, ts_path: str, now: Column, document: str = "document") -> DataFrame:
+    """(object_id, value): the newest document of each id, parsed; a lookup by id is a join with it. A document that isn't JSON has no id and goes."""
+    return land_documents(df, document, key_paths, ts_path, now).select("object_id", F.from_json("object_value", schema).alias("value"))

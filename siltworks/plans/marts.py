@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siltworks.functions.scalar import as_date, city_zone, md5_bigint, month_of, safe_div, signed, to_local, week_of
+from siltworks.functions.scalar import as_date, city_zone, hashdiff, md5_bigint, month_of, safe_div, signed, to_local, week_of
 from siltworks.operators import relational as R
-from siltworks.operators.loads import apply_counters, load_hub, load_link, load_satellite
+from siltworks.operators.loads import apply_counters, hub_rows, insert_new, link_rows, load_link, missing, satellite_changes
 
 #: Share of an order's sum that a courier gets and the least per order, by average rate below the bound (fixed values).
 PAYOUT_BANDS = [(4.0, 0.05, 100.0), (4.5, 0.07, 150.0), (4.9, 0.08, 175.0), (None, 0.10, 200.0)]
@@ -150,11 +150,15 @@ def global_metrics(transactions: DataFrame, rates: DataFrame, target: int = 420)
 
 
 def load_group_activity(log: DataFrame, users: DataFrame, groups: DataFrame, link: DataFrame, satellite: DataFrame, load_src: str, load_dt: Column) -> tuple[DataFrame, DataFrame]:
-    """(link, satellite) of the join and leave log (user_id, group_id, event, event_dt); rows of unknown users or groups go."""
+    """(link, satellite) of the join and leave log (user_id, group_id, event, event_dt); rows of unknown users or groups go.
+
+    An event of a user and group at one time is one row of the satellite; columns that it has besides (such as user_id_from) come from the log, the least of several.
+    """
     known, _ = R.resolve_keys(log, users.select("user_id"), ["user_id"])
     known, _ = R.resolve_keys(known, groups.select("group_id"), ["group_id"])
-    keyed = known.withColumn("link_id", F.concat_ws("_", "user_id", "group_id"))
-    return load_link(known, link, ["user_id", "group_id"], load_src, load_dt), load_satellite(keyed, satellite, "link_id", ["event", "event_dt"], load_src, load_dt, "by_event")
+    fixed = {"link_id": F.concat_ws("_", "user_id", "group_id"), "hashdiff": hashdiff(F.col("event"), F.col("event_dt")), "load_dt": load_dt, "load_src": F.lit(load_src)}
+    rows = known.select(*[fixed[k].alias(k) if k in fixed else F.col(k) for k in satellite.columns])
+    return load_link(known, link, ["user_id", "group_id"], load_src, load_dt), insert_new(rows, satellite, ["link_id", "hashdiff"])
 
 
 #: Business keys, links of them, and what describes them (fixed names).
@@ -173,14 +177,19 @@ def empty_vault(lines: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
-def guest_vault(lines: DataFrame, vault: dict[str, DataFrame], load_src: str, load_dt: Column, order: str | None = None) -> dict[str, DataFrame]:
+def guest_vault(lines: DataFrame, vault: dict[str, DataFrame], load_src: str, load_dt: Column, order: str | Column) -> dict[str, DataFrame]:
     """The five hubs, four links and five satellites after order lines (order_id, user_id, user_name, restaurant_id, restaurant_name, product_id, product_name, category, cost, payment, status).
 
-    ``order``: the time of each line, where a key may have several states in one batch.
+    ``order``: the time of each line's state, or that of all.
     """
-    out = {f"hub_{k}": load_hub(lines, vault[f"hub_{k}"], k, load_src, load_dt) for k in HUBS}
-    out |= {f"link_{a}_{b}": load_link(lines, vault[f"link_{a}_{b}"], [a, b], load_src, load_dt) for a, b in LINKS}
-    return out | {f"sat_{n}": load_satellite(lines, vault[f"sat_{n}"], key, attributes, load_src, load_dt, order=order) for n, (key, attributes) in SATELLITES.items()}
+    return {name: vault[name].unionByName(rows) for name, rows in vault_rows(lines, vault, load_src, load_dt, order).items()}
+
+
+def vault_rows(lines: DataFrame, vault: dict[str, DataFrame], load_src: str, load_dt: Column, order: str | Column) -> dict[str, DataFrame]:
+    """What the tables of the guest vault lack of the order lines. ``vault`` need only hold rows with the lines' keys."""
+    hubs = {f"hub_{k}": missing(hub_rows(lines, k, load_src, load_dt), vault[f"hub_{k}"], ["hub_key"]) for k in HUBS}
+    links = {f"link_{a}_{b}": missing(link_rows(lines, [a, b], load_src, load_dt), vault[f"link_{a}_{b}"], ["link_key"]) for a, b in LINKS}
+    return hubs | links | {f"sat_{n}": satellite_changes(lines, vault[f"sat_{n}"], key, attributes, load_src, order) for n, (key, attributes) in SATELLITES.items()}
 
 
 def guest_counters(lines: DataFrame, counters: DataFrame, ledger: DataFrame, by: str, once_per_order: bool) -> tuple[DataFrame, DataFrame]:

@@ -811,7 +811,7 @@ def l14_satellite_of_changes(t):
     states = t.events.groupBy(c("user_id").alias("k"), "ts").agg(F.max("event_type").alias("s"))
     target = t.spark.createDataFrame([], "k bigint, s string, hashdiff string, load_dt timestamp, load_src string")
     for part in (states.filter("ts < '2024-01-15'"), states):  # the second batch repeats the first
-        target = L.load_satellite(part, target, "k", ["s"], "log", time0(), order="ts")
+        target = L.load_satellite(part, target, "k", ["s"], "log", "ts")
     return target.select("k", "s", "load_dt")
 
 
@@ -819,8 +819,107 @@ def l14_satellite_of_changes(t):
        "UNION ALL SELECT 'link_order_id_user_id', count(*) FROM (SELECT DISTINCT l_orderkey, o_custkey FROM j) UNION ALL SELECT 'link_order_id_product_id', count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey FROM j) UNION ALL SELECT 'link_product_id_restaurant_id', count(*) FROM (SELECT DISTINCT l_partkey, l_suppkey % 10 FROM j) UNION ALL SELECT 'link_product_id_category', count(*) FROM (SELECT DISTINCT l_partkey, p_brand FROM j) "
        "UNION ALL SELECT 'sat_user_names', count(DISTINCT o_custkey) FROM j UNION ALL SELECT 'sat_product_names', count(DISTINCT l_partkey) FROM j UNION ALL SELECT 'sat_restaurant_names', count(DISTINCT l_suppkey % 10) FROM j UNION ALL SELECT 'sat_order_cost', count(DISTINCT l_orderkey) FROM j UNION ALL SELECT 'sat_order_status', count(DISTINCT l_orderkey) FROM j".replace("FROM j", "FROM (SELECT * FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"))
 def m13_guest_vault(t):
+    return R.row_counts(_guest_vault(_guest_lines(t)))
+
+
+def _guest_vault(lines):
+    """After half of the orders and then all of them."""
+    return M.guest_vault(lines, M.guest_vault(lines.filter("order_id % 2 = 0"), M.empty_vault(lines), "orders", time0(), time0()), "orders", time0(), time0())
+
+
+def _guest_lines(t):
     j = t.lineitem.join(t.orders, c("l_orderkey") == c("o_orderkey")).join(t.part, c("l_partkey") == c("p_partkey"))
     text = {"order_id": c("l_orderkey"), "user_id": c("o_custkey"), "user_name": F.concat(F.lit("u"), c("o_custkey")), "restaurant_id": c("l_suppkey") % 10, "restaurant_name": F.concat(F.lit("r"), c("l_suppkey") % 10), "product_id": c("l_partkey"), "product_name": c("p_name"), "category": c("p_brand"), "status": c("o_orderstatus")}
-    lines = j.select(*[v.cast("string").alias(k) for k, v in text.items()], c("o_totalprice").alias("cost"), c("o_totalprice").alias("payment"))
-    vault = M.guest_vault(lines, M.guest_vault(lines.filter("order_id % 2 = 0"), M.empty_vault(lines), "orders", time0()), "orders", time0())
-    return R.row_counts(vault)
+    money = c("o_totalprice").cast("decimal(18,2)")
+    return j.select(*[v.cast("string").alias(k) for k, v in text.items()], money.alias("cost"), money.alias("payment"))
+
+
+def uuid_sql(x: str) -> str:
+    return f"CAST(CAST(md5({x}) AS UUID) AS VARCHAR)"
+
+
+def vault_sql(lines: str) -> str:
+    """All rows of the vault's tables: table_name, key, load_dt and the other columns as text. ``lines``: SQL of order lines with order_dt; a state of a key holds from its first time on."""
+    load = "2024-02-01 00:00:00"
+    parts = [f"SELECT 'hub_{k}' AS table_name, {uuid_sql(k)} AS key, '{load}' AS load_dt, concat_ws('|', {k}, 'orders') AS rest FROM (SELECT DISTINCT {k} FROM l)" for k in M.HUBS]
+    parts += [f"SELECT 'link_{a}_{b}', {uuid_sql(f'concat({a}, chr(95), {b})')}, '{load}', concat_ws('|', {uuid_sql(a)}, {uuid_sql(b)}, 'orders') FROM (SELECT DISTINCT {a}, {b} FROM l)" for a, b in M.LINKS]
+    for name, (key, attributes) in M.SATELLITES.items():
+        text = ", ".join(attributes)
+        parts.append(f"SELECT 'sat_{name}', {key}, strftime(min(order_dt), '%Y-%m-%d %H:%M:%S'), concat_ws('|', {text}, {uuid_sql(f'concat_ws(chr(95), {text})')}, 'orders') FROM l GROUP BY {key}, {text}")
+    return f"WITH l AS ({lines}) " + " UNION ALL ".join(parts)
+
+
+def vault_as_rows(vault: dict[str, DataFrame]) -> DataFrame:
+    """A vault's tables as one, see ``vault_sql``."""
+    one = lambda name, df: df.select(F.lit(name).alias("table_name"), c(df.columns[0]).alias("key"), F.date_format("load_dt", "yyyy-MM-dd HH:mm:ss").alias("load_dt"), F.concat_ws("|", *[x for x in df.columns[1:] if x != "load_dt"]).alias("rest"))
+    return R.union_all(*[one(name, df) for name, df in vault.items()])
+
+
+@query(vault_sql("SELECT CAST(l_orderkey AS VARCHAR) AS order_id, CAST(o_custkey AS VARCHAR) AS user_id, concat('u', o_custkey) AS user_name, CAST(l_suppkey % 10 AS VARCHAR) AS restaurant_id, concat('r', l_suppkey % 10) AS restaurant_name, CAST(l_partkey AS VARCHAR) AS product_id, p_name AS product_name, p_brand AS category, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS cost, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS payment, o_orderstatus AS status, TIMESTAMP '2024-02-01' AS order_dt FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey"))
+def m13_guest_vault_rows(t):
+    """The fourteen tables whole: keys, hashes, attributes."""
+    return vault_as_rows(_guest_vault(_guest_lines(t)))
+
+
+@query(_ODS + "SELECT o.event_id, o.ts, o.user_id, o.event_type, o.lat, o.lon, city_id, city, distance_km, 'Australia/' || CASE WHEN city IN ('ALGERIA', 'BRAZIL') THEN 'Perth' ELSE 'Sydney' END AS zone FROM o")
+def m1_events_whole(t):
+    """All columns of the events with their cities."""
+    ods = M.events_with_cities(derived(t, PLACED), derived(t, CITIES), {"ALGERIA": "Australia/Perth", "BRAZIL": "Australia/Perth"})
+    return ods.select("event_id", "ts", "user_id", "event_type", "lat", "lon", "city_id", "city", F.round("distance_km", 6).alias("distance_km"), "zone")
+
+
+@query("WITH l AS (SELECT *, CAST(l_extendedprice AS DECIMAL(14,2)) AS price, CAST(l_quantity AS INTEGER) AS q, CAST(l_extendedprice * 0.01 AS DECIMAL(14,2)) AS pay, CAST(l_tax * 100 AS DECIMAL(14,2)) AS grnt FROM lineitem JOIN orders ON l_orderkey = o_orderkey QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY price DESC, q DESC, pay DESC, grnt DESC) = 1) "
+       "SELECT CAST(l_orderkey AS VARCHAR) AS order_id, CAST(l_partkey AS VARCHAR) AS product_id, l_partkey * 3 + CASE WHEN o_orderdate < TIMESTAMP '1996-01-01' THEN 1 WHEN o_orderdate < TIMESTAMP '1999-01-01' THEN 2 ELSE 0 END AS version_id, q AS count, CAST(price AS DOUBLE) AS price, CAST(price * q AS DOUBLE) AS total_sum, CAST(pay AS DOUBLE) AS bonus_payment, CAST(grnt AS DOUBLE) AS bonus_grant FROM l JOIN part ON l_partkey = p_partkey")
+def m7_product_sales_whole(t):
+    """Every line of every order as it stands in the events, with its bonuses; products of three versions, of which the last is closed, so a fact before or after all of them takes the newest."""
+    item = F.struct(c("l_partkey").cast("string").alias("product_id"), c("l_extendedprice").cast("decimal(14,2)").alias("price"), c("l_quantity").cast("int").alias("quantity"), (c("l_extendedprice") * 0.01).cast("decimal(14,2)").alias("bonus_payment"), (c("l_tax") * 100).cast("decimal(14,2)").alias("bonus_grant"))
+    grouped = t.lineitem.groupBy(c("l_orderkey").cast("string").alias("order_id")).agg(F.collect_list(item).alias("product_payments"))
+    events = grouped.select(F.to_json(F.struct("order_id", "product_payments")).alias("event_value"))
+    at = ("1990-01-01", "1996-01-01", "1999-01-01", "2099-12-31")
+    split = F.inline(F.array(*[F.struct((c("p_partkey") * 3 + n % 3).alias("version_id"), F.lit(a).cast("timestamp").alias("active_from"), F.lit(b).cast("timestamp").alias("active_to")) for n, a, b in zip((1, 2, 3), at, at[1:])]))
+    products = t.part.select(c("p_partkey").cast("string").alias("product_id"), split)
+    sold = M.product_sales(events, t.orders.select(c("o_orderkey").cast("string").alias("order_id"), c("o_orderdate").alias("order_ts")), products)
+    return sold.withColumns({k: c(k).cast("double") for k in ("price", "total_sum", "bonus_payment", "bonus_grant")})
+
+
+@query(f"WITH l AS (SELECT user_id, event_id % 20 AS group_id, event_type AS event, ts, event_id % 9 AS user_id_from FROM events WHERE event_type IN ('signup', 'click') AND user_id IN (SELECT c_custkey FROM customer) AND event_id % 20 IN (SELECT n_nationkey FROM nation WHERE n_nationkey < 15)) SELECT DISTINCT 'link' AS table_name, {uuid_sql('concat(user_id, chr(95), group_id)')} AS key, concat_ws('|', {uuid_sql('CAST(user_id AS VARCHAR)')}, {uuid_sql('CAST(group_id AS VARCHAR)')}) AS rest, CAST(NULL AS TIMESTAMP) AS event_dt FROM l UNION ALL SELECT 'satellite', concat(user_id, '_', group_id), concat_ws('|', min(user_id_from), event), ts FROM l GROUP BY user_id, group_id, event, ts")
+def m12_group_activity_whole(t):
+    """Link and satellite whole, after the same log twice."""
+    link = t.spark.createDataFrame([], "link_key string, hk_user_id string, hk_group_id string, load_dt timestamp, load_src string")
+    satellite = t.spark.createDataFrame([], "link_id string, user_id_from bigint, event string, event_dt timestamp, hashdiff string, load_dt timestamp, load_src string")
+    log = t.events.filter("event_type IN ('signup', 'click')").select("user_id", (c("event_id") % 20).alias("group_id"), (c("event_id") % 9).alias("user_id_from"), c("event_type").alias("event"), c("ts").alias("event_dt"))
+    users, groups = t.customer.select(c("c_custkey").alias("user_id")), t.nation.filter("n_nationkey < 15").select(c("n_nationkey").alias("group_id"))
+    for _ in range(2):
+        link, satellite = M.load_group_activity(log, users, groups, link, satellite, "log", time0())
+    links = link.select(F.lit("link").alias("table_name"), c("link_key").alias("key"), F.concat_ws("|", "hk_user_id", "hk_group_id").alias("rest"), F.lit(None).cast("timestamp").alias("event_dt"))
+    return links.unionByName(satellite.select(F.lit("satellite").alias("table_name"), c("link_id").alias("key"), F.concat_ws("|", "user_id_from", "event").alias("rest"), "event_dt"))
+
+
+@query("SELECT DISTINCT o_custkey, o_orderstatus, md5(concat(o_custkey, chr(31), o_orderstatus))[1:8] AS high FROM orders")
+def h4_hash_key(t):
+    key = S.hash_key(c("o_custkey"), c("o_orderstatus"))
+    return t.orders.select("o_custkey", "o_orderstatus", F.lower(F.lpad(F.hex(F.shiftrightunsigned(key, 32)), 8, "0")).alias("high")).distinct()
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, 'u' || l_suppkey AS user_name, 'r' || l_orderkey % 7 AS restaurant_name, CASE WHEN p_size > 25 THEN p_brand ELSE '' END AS category FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey")
+def s12_document_lookup(t):
+    """Users and restaurants are JSON documents under their ids, the restaurants' with a menu; of several documents of an id the newest counts. Order lines look up names and categories by id."""
+    user = lambda name: F.struct(F.struct(c("s_suppkey").cast("string").alias("$oid")).alias("_id"), name.alias("name"), F.lit("2024-01-02").alias("update_ts"))
+    older = t.supplier.select(F.to_json(F.struct(c("s_suppkey").cast("string").alias("_id"), F.lit("old").alias("name"), F.lit("2024-01-01").alias("update_ts"))).alias("document"))
+    users = older.unionByName(t.supplier.select(F.to_json(user(F.concat(F.lit("u"), "s_suppkey"))).alias("document")))
+    # a menu is one document, so the parts are dealt over the seven restaurants
+    menu = F.collect_list(F.struct(c("p_partkey").cast("string").alias("_id"), c("p_brand").alias("category"))).alias("menu")
+    menus = t.part.filter("p_size > 25").groupBy((c("p_partkey") % 7).alias("r")).agg(menu)
+    restaurants = menus.select(F.to_json(F.struct(c("r").cast("string").alias("_id"), F.concat(F.lit("r"), "r").alias("name"), F.lit("2024-01-01").alias("update_ts"), "menu")).alias("document"))
+    users, restaurants = (L.read_documents(x, "struct<name string, menu array<struct<_id string, category string>>>", ["$._id"], "$.update_ts", time0()) for x in (users, restaurants))
+    items = restaurants.select(F.explode("value.menu").alias("m")).select(c("m._id").alias("part"), c("m.category").alias("category"))
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", c("l_suppkey").cast("string").alias("user"), (c("l_orderkey") % 7).cast("string").alias("restaurant"), c("l_partkey").cast("string").alias("part"))
+    named = lines.join(users.select(c("object_id").alias("user"), c("value.name").alias("user_name")), "user").join(restaurants.select(c("object_id").alias("restaurant"), c("value.name").alias("restaurant_name")), "restaurant")
+    return R.enrich_items(named, items, ["part"], "category").select("l_orderkey", "l_linenumber", "l_partkey", "user_name", "restaurant_name", "category")
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS table_name, CAST(row_number() OVER () AS INTEGER) AS position, column_name, CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE column_type END AS data_type, true AS nullable, (SELECT count(*) FROM {n}) AS n_rows FROM (DESCRIBE {n})" for n in ("orders", "lineitem", "part")))
+def d11_schemas(t):
+    """The columns of tables, beside how many rows each table has."""
+    tables = {n: getattr(t, n) for n in ("orders", "lineitem", "part")}
+    return D.describe_schema(t.spark, tables).join(R.row_counts(tables).withColumnRenamed("n", "n_rows"), "table_name")

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from siltworks.sources.commits import Conflict, claim, manifest, numbers
+
 CORRUPT = "_corrupt_record"
 
 
@@ -92,6 +94,12 @@ def read_topic(spark: SparkSession, options: dict[str, str], topic: str, max_per
     return spark.readStream.format("kafka").options(**(options | {"subscribe": topic, "startingOffsets": "earliest", "failOnDataLoss": "false"} | extra)).load()
 
 
+def read_files(spark: SparkSession, path: str, schema: StructType | str, max_files: int | None = None) -> DataFrame:
+    """A stream of the parquet files below a path, at most ``max_files`` of them a batch."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(path)
+
+
 def as_messages(df: DataFrame) -> DataFrame:
     """The whole row as one JSON column named value."""
     return df.select(F.to_json(F.struct("*")).alias("value"))
@@ -110,28 +118,36 @@ def write_lake(df: DataFrame, path: str, partition_by: list[str] | None = None,
         (df.repartition(files) if files else df).write.mode("overwrite").parquet(path)
 
 
-def publish(tables: dict[str, DataFrame], base: str) -> str:
-    """Write several tables as one new version below ``base``, then name it in the folder's version table; returns the version's path.
+def publish(tables: dict[str, DataFrame], base: str, after: int | None = None) -> int:
+    """Write several tables as one new version below ``base``; returns its number.
 
-    Readers take the last version named there, so they see all tables of a load or none, and a load may read what it replaces.
+    Readers take the last version, so they see all tables of a load or none, and a load may read what it replaces. With ``after``, the number of the version
+    that the load has read (``version``), this raises ``Conflict`` where another has been published since, so that no load is lost.
     """
-    version = uuid.uuid4().hex
-    for name, df in tables.items():
-        df.write.parquet(f"{base}/{version}/{name}")
     spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(version,)], "version string").withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{base}/_versions")
-    return f"{base}/{version}"
+    part = uuid.uuid4().hex
+    for name, df in tables.items():
+        df.write.parquet(f"{base}/{part}/{name}")
+    number = version(spark, base) if after is None else after
+    while True:
+        try:
+            claim(spark, f"{base}/_versions", number + 1, {"part": part})
+            return number + 1
+        except Conflict:
+            if after is not None:
+                raise
+            number += 1
+
+
+def version(spark: SparkSession, base: str) -> int:
+    """The number of the last version, 0 before the first."""
+    return max(numbers(spark, f"{base}/_versions"), default=0)
 
 
 def current(spark: SparkSession, base: str, name: str, schema: StructType | str) -> DataFrame:
     """The last published version of a table; an empty one before the first."""
-    try:
-        last = spark.read.parquet(f"{base}/_versions").orderBy(F.desc("at")).select("version").first()
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        last = None
-    return spark.createDataFrame([], schema) if last is None else spark.read.schema(spark.createDataFrame([], schema).schema).parquet(f"{base}/{last[0]}/{name}")
+    empty, last = spark.createDataFrame([], schema), version(spark, base)
+    return spark.read.schema(empty.schema).parquet(f"{base}/{manifest(spark, f'{base}/_versions', last)['part']}/{name}") if last else empty
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

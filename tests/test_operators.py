@@ -12,6 +12,7 @@ from siltworks.operators import loads as L
 from siltworks.operators import relational as R
 from siltworks.plans import marts as M
 from siltworks.sources import tables as T
+from siltworks.sources.commits import Store
 from siltworks.streaming import streams as X
 
 
@@ -122,28 +123,29 @@ def test_streams(spark, tmp_path):
     lines = ['{"rid": "a", "s": 0, "e": 100}', '{"rid": "b", "s": 0, "e": 10}', "broken", '{"rid": "c", "s": 0, "e": 100}']
     (tmp_path / "in" / "1.txt").write_text("\n".join(lines))
     subscribers = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "rid string, client bigint")
-    base, counted = str(tmp_path / "t"), str(tmp_path / "c")
+    feedback = Store(spark, str(tmp_path / "t"), {"feedback": ("rid string, client bigint, created int", ["rid", "client"])}, 4)
+    counted = Store(spark, str(tmp_path / "c"), {"counters": ("rid string, n bigint", ["rid"]), "ledger": ("client bigint", ["client"])}, 4)
     for _ in range(2):  # the second run finds a checkpoint; a third with a new one repeats the batch
         good, _bad = X.parse_stream(spark.readStream.text(str(tmp_path / "in")), "rid string, s bigint, e bigint")
         out = X.notify(good, subscribers, "s", "e", "rid", "created", now=50)
-        sink = X.dual_sink(X.table_sink(base, "feedback", "rid string, client bigint, created int", ["rid", "client"]), X.count_orders(counted, "client", ["rid"]))
+        sink = X.dual_sink(X.keyed_sink(feedback, "a", "feedback"), X.counting_sink(counted, "a", "client", ["rid"]))
         X.start(out, sink, str(tmp_path / "check")).awaitTermination()
+    sink = X.dual_sink(X.keyed_sink(feedback, "b", "feedback"), X.counting_sink(counted, "b", "client", ["rid"]))
     X.start(X.notify(X.parse_stream(spark.readStream.text(str(tmp_path / "in")), "rid string, s bigint, e bigint")[0], subscribers, "s", "e", "rid", "created", now=50), sink, str(tmp_path / "check2")).awaitTermination()
-    got = T.current(spark, base, "feedback", "rid string, client bigint, created int").collect()
+    got = feedback.read("feedback").collect()
     assert sorted((r.rid, r.client, r.created) for r in got) == [("a", 1, 50), ("a", 2, 50)]
-    assert [(r.rid, r.n) for r in T.current(spark, counted, "counters", "rid string, n bigint").collect()] == [("a", 2)]
+    assert [(r.rid, r.n) for r in counted.read("counters").collect()] == [("a", 2)]
     _, bad = X.parse_stream(spark.read.text(str(tmp_path / "in")), "rid string, s bigint, e bigint")
     assert [r.raw for r in bad.collect()] == ["broken"]
 
 
-def test_stage_and_vault_sinks(spark, tmp_path):
-    batch = spark.createDataFrame([("o1", "u", "new", 1), ("o1", "u", "done", 2)], "order_id string, user_id string, status string, at int")
-    for _ in range(2):
-        X.stage_orders(str(tmp_path / "s"), "order_id string, user_id string, status string, at int", "order_id", "at")(batch, 0)
-        X.vault_orders(str(tmp_path / "v"), ["order_id", "user_id"], [["order_id", "user_id"]], {"order_id": ["status"]}, "s", now())(batch.filter("at = 2"), 0)
-    assert T.current(spark, str(tmp_path / "s"), "orders", "order_id string, user_id string, status string, at int").first().status == "done"
-    assert T.current(spark, str(tmp_path / "v"), "sat_order_id", "order_id string, status string, hashdiff string, load_dt timestamp, load_src string").count() == 1
-    assert T.current(spark, str(tmp_path / "v"), "link_order_id_user_id", "link_key string").count() == 1
+def test_newest_sink(spark, tmp_path):
+    batch = spark.createDataFrame([("o1", "u", "new", 1), ("o1", "u", "done", 2), ("o2", "u", "new", 5)], "order_id string, user_id string, status string, at int")
+    store = Store(spark, str(tmp_path / "s"), {"orders": ("order_id string, user_id string, status string, at int", ["order_id"])}, 4)
+    for k in range(2):
+        X.newest_sink(store, "s", "orders", "at")(batch, k)
+    X.newest_sink(store, "s", "orders", "at")(batch.filter("at = 1"), 2)
+    assert sorted((r.order_id, r.status) for r in store.read("orders").collect()) == [("o1", "done"), ("o2", "new")]
 
 
 def test_satellite_keeps_each_change_of_a_batch(spark):
@@ -151,7 +153,7 @@ def test_satellite_keeps_each_change_of_a_batch(spark):
     source = spark.createDataFrame(rows, "k string, s string, at string")
     target = spark.createDataFrame([], "k string, s string, hashdiff string, load_dt timestamp, load_src string")
     for part in (source.filter("at < '2024-01-03'"), source, source):
-        target = L.load_satellite(part, target, "k", ["s"], "x", now(), order="at")
+        target = L.load_satellite(part, target, "k", ["s"], "x", "at")
     assert [(r.k, r.s, r.load_dt.day) for r in target.orderBy("k", "load_dt").collect()] == [("o1", "new", 1), ("o1", "done", 2), ("o1", "new", 4), ("o2", "a", 1)]
 
 
