@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-#: Paths that the open ``scratch`` blocks have stored, the innermost last.
-_OPEN: list[list[str]] = []
+#: Paths that the ``scratch`` blocks open in this thread or context have stored, the innermost last.
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open", default=())
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -37,8 +38,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
-    if _OPEN:
-        _OPEN[-1].append(path)
+    if _OPEN.get():
+        _OPEN.get()[-1].append(path)
     return out
 
 
@@ -58,16 +59,17 @@ def scratch(spark: SparkSession) -> Iterator[Callable]:
     """Deletes the tables stored within at its end. Those given to the function that it yields stay, as the result reads them, and pass to the block around it."""
     made: list[str] = []
     kept: set[str] = set()
-    _OPEN.append(made)
+    around = _OPEN.get()
+    _OPEN.set((*around, made))
     try:
         yield lambda *tables: kept.update(t.stored_at for t in tables)
     finally:
-        _OPEN.remove(made)
+        _OPEN.set(around)
         for path in made:
             if path not in kept:
                 _delete(spark, path)
-            elif _OPEN:
-                _OPEN[-1].append(path)
+            elif around:
+                around[-1].append(path)
 
 
 #: Bits of the hash prefixes that stand for a set of keys: at most 2**20 of them are broadcast, however large the set.

@@ -78,3 +78,49 @@ def test_stage_keeps_unique_texts_without_id_or_with_one_id(spark):
     rows = [(None, "one of these has no id at all"), (None, "and this other one has none either"), (1, "a text that shares its id with another"), (1, "another text under the very same id")]
     out = corpus_pipeline.without_near_copies(spark, spark.createDataFrame(rows, DOCS), "")
     assert sorted(r.text for r in out.collect()) == sorted(t for _, t in rows)
+
+
+def test_an_outsider_in_the_band_of_a_large_group(spark):
+    """A group that links and texts that share its bands without linking: the same groups as by brute force."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(500)}" for _ in range(160)]
+    texts = []
+    for k in range(60):
+        words = list(base)
+        words[rng.randrange(160)] = f"x{k}"
+        texts.append(" ".join(words))
+    for k in range(12):  # about half of the shingles of the group
+        texts.append(" ".join(base[:110] + [f"y{k}_{i}" for i in range(rng.randint(28, 60))]))
+    rows = [(1000 + i, i, t) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.root for r in near_copies(spark.createDataFrame(rows, "row long, doc_id long, text string")).collect()}
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    group = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = group[a], group[b]
+                group = [min(x, y) if g in (x, y) else g for g in group]
+    assert len({(group[i], got[i]) for i in range(len(texts))}) == len(set(group)) == len(set(got.values()))
+
+
+def test_threads_do_not_delete_each_others_tables(spark):
+    import threading
+
+    from siltworks.llm.shared import scratch, stored
+
+    inside, seen = threading.Barrier(2), []
+
+    def work(n):
+        with scratch(spark):
+            inside.wait()
+            one = stored(spark.range(n), "one")
+            inside.wait()
+            seen.append(one.count() == n)
+            inside.wait()
+
+    threads = [threading.Thread(target=work, args=(n,)) for n in (3, 5)]
+    for x in threads:
+        x.start()
+    for x in threads:
+        x.join()
+    assert seen == [True, True]
