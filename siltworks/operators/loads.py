@@ -81,6 +81,23 @@ def scd2(source: DataFrame, target: DataFrame, key: str, tracked: Keys, ts: str,
     return closed.select(*columns, "active_to").unionByName(versions)
 
 
+def scd2_of_log(source: DataFrame, target: DataFrame, log: DataFrame, key: str, tracked: Keys, ts: str, end_of_time: str = END_OF_TIME) -> tuple[DataFrame, DataFrame]:
+    """(versions, log) after the source's rows, whenever they arrive: any order and any division into loads gives the same history.
+
+    ``log`` (key, tracked, ts) keeps each state that was seen, as closed versions alone don't tell whether a state was seen again after a late row's time. Of
+    states with one key and time the greatest counts. Only the keys of the source are made anew, from their states; the versions of others stay.
+    """
+    seen = source.dropna(subset=[key, ts]).select(key, *tracked, F.col(ts).cast("timestamp").alias(ts))
+    keys = seen.select(key).distinct()
+    states = top_per(log.join(keys, key, "left_semi").select(seen.columns).unionByName(seen), [key, ts], [F.desc_nulls_last(c) for c in tracked])
+    of = Window.partitionBy(key).orderBy(ts)
+    state = F.struct(*tracked)
+    opened = states.withColumns({"_before": F.lag(state).over(of), "_n": F.row_number().over(of)}).filter((F.col("_n") == 1) | ~F.col("_before").eqNullSafe(state))
+    versions = opened.select(key, *tracked, F.col(ts).alias("active_from"), F.coalesce(F.lead(ts).over(of), F.lit(end_of_time).cast("timestamp")).alias("active_to"))
+    others = target.join(keys, key, "left_anti").select(versions.columns)
+    return others.unionByName(versions), log.join(keys, key, "left_anti").select(seen.columns).unionByName(states)
+
+
 def build_time_dim(df: DataFrame, ts: str) -> DataFrame:
     """One row for each second observed: ts, year, month, day, time, date."""
     seconds = df.select(F.date_trunc("second", ts).alias("ts")).dropna().distinct()

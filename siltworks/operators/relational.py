@@ -65,11 +65,23 @@ def left_join(df: DataFrame, other: DataFrame, on, broadcast: bool = False) -> D
     return df.join(F.broadcast(other) if broadcast else other, on, "left")
 
 
-def peer_pairs(df: DataFrame, user: str, group: str) -> DataFrame:
-    """Distinct (left, right), left < right, of users who share a group. The number of pairs grows with the square of a group; that is the result."""
-    one = df.select(group, F.col(user).alias("left")).distinct()
-    two = one.withColumnRenamed("left", "right")
-    return one.join(two, (one[group] == two[group]) & (F.col("left") < F.col("right"))).select("left", "right").distinct()
+#: Members of a group or cell that one task pairs with as many others.
+BLOCK = 2000
+
+
+def peer_pairs(df: DataFrame, user: str, group: str, block: int = BLOCK) -> DataFrame:
+    """Distinct (left, right), left < right, of users who share a group. The number of pairs grows with the square of a group; that is the result.
+
+    A group is cut into blocks of about ``block`` members by a hash. Each two blocks, and each with itself, are a key of the join, so no task has more than ``block`` squared
+    pairs of a group at once, however large it is; a member goes to as many keys as its group has blocks.
+    """
+    one = df.select(group, user).dropna().distinct()
+    sizes = one.groupBy(group).agg(F.count("*").alias("_n")).filter(F.col("_n") > block)
+    dealt = one.join(sizes, group, "left").withColumn("_blocks", F.ceil(F.coalesce("_n", F.lit(1)) / block).cast("int")).withColumn("_block", F.pmod(F.xxhash64(user), "_blocks").cast("int"))
+    low = dealt.select(group, F.col(user).alias("_a"), F.col("_block").alias("_i"), F.explode(F.sequence("_block", F.col("_blocks") - 1)).alias("_j"))
+    high = dealt.select(group, F.col(user).alias("_b"), F.explode(F.sequence(F.lit(0), "_block")).alias("_i"), F.col("_block").alias("_j"))
+    pairs = low.join(high, [group, "_i", "_j"]).filter("_i < _j OR _a < _b")
+    return pairs.select(F.least("_a", "_b").alias("left"), F.greatest("_a", "_b").alias("right")).distinct()
 
 
 def exclude(df: DataFrame, seen: DataFrame, keys: Keys) -> DataFrame:
@@ -90,19 +102,45 @@ def has_history(df: DataFrame, key: str, period_start: str, events: DataFrame, e
     return joined.withColumn("has_history", F.coalesce(F.col("_first") < F.col(period_start), F.lit(False))).drop("_key", "_first")
 
 
-def asof_join(df: DataFrame, versions: DataFrame, key: str, ts: str, start: str = "active_from", end: str = "active_to", fallback: str | None = None) -> DataFrame:
-    """Each row with the version of its key that holds at ``ts``, start <= ts < end; versions of a key don't overlap.
+def time_slice(df: DataFrame, column: str, width: float | None) -> Column:
+    """The number of the slice of ``width`` that a value falls into: days for dates and timestamps, the column's own units for numbers. Null falls into the first of all; without a width there is one slice."""
+    if width is None:
+        return F.lit(0).cast("bigint")
+    value = F.col(column)
+    kind = df.schema[column].dataType.typeName()
+    number = F.unix_micros(value.cast("timestamp")) / 86_400_000_000 if kind.startswith(("date", "timestamp", "string")) else value.cast("double")
+    return F.coalesce(F.floor(number / width), F.lit(-(2**62))).cast("bigint")
+
 
-    With fallback 'latest', a row without such a version gets the key's newest, one row that is aggregated beforehand. Repeated rows stay repeated.
+def asof_join(df: DataFrame, versions: DataFrame, key: str, ts: str, start: str = "active_from", end: str = "active_to", fallback: str | None = None, width: float | None = 90) -> DataFrame:
+    """Each row with the version of its key that holds at ``ts``, start <= ts < end; versions of a key don't overlap, and one without a start is none.
+
+    With fallback 'latest', a row without such a version gets the key's newest. Repeated rows stay repeated; rows of keys without versions go.
+
+    Rows and versions are one sequence, sorted once for each key and slice of time (``time_slice``), in which the last version is carried over the rows after it; what
+    holds where a slice begins comes from one row for each key and slice. So a row never meets the versions of its key, rows are shuffled once,
+    and the rows of a hot key go to as many tasks as they have slices.
     """
-    v = versions.withColumnRenamed(key, "_key")
+    rest = [x for x in versions.columns if x != key]
+    v = versions.filter(F.col(key).isNotNull() & F.col(start).isNotNull()).select(F.col(key).alias("_key"), time_slice(versions, start, width).alias("_slice"), F.col(start).alias("_at"), F.struct(*rest).alias("_version"))
+    rows = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("_key"), time_slice(df, ts, width).alias("_slice"), F.col(ts).alias("_at"), F.struct(*df.columns).alias("_row"))
+    newest = F.max_by("_version", F.struct("_at", f"_version.{end}", "_version"))
+    # a row for each key and slice that has rows or versions: the last version before it, and the newest of all
+    some = v.groupBy("_key", "_slice").agg(newest.alias("_last")).unionByName(rows.select("_key", "_slice").distinct(), allowMissingColumns=True)
+    some = some.groupBy("_key", "_slice").agg(F.max("_last").alias("_last"))
+    of = Window.partitionBy("_key").orderBy("_slice")
+    every = of.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = some.select("_key", "_slice", F.last("_last", True).over(of.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.last("_last", True).over(every).alias("_newest")).filter(F.col("_newest").isNotNull())
+    both = v.unionByName(rows, allowMissingColumns=True)
+    carried = F.last("_version", True).over(Window.partitionBy("_key", "_slice").orderBy(F.col("_at").asc_nulls_first(), F.col("_row").isNotNull(), F.col(f"_version.{end}")).rowsBetween(Window.unboundedPreceding, 0))
+    placed = both.withColumn("_held", carried).filter(F.col("_row").isNotNull()).join(before, ["_key", "_slice"])
+    held = F.coalesce("_held", "_before")
+    found = F.when(F.col("_at") < held[end], held)
     if fallback is None:
-        return df.join(v, (F.col(key) == F.col("_key")) & (F.col(ts) >= F.col(start)) & (F.col(ts) < F.col(end))).drop("_key")
-    rest = [x for x in v.columns if x != "_key"]
-    newest = v.groupBy(F.col("_key").alias("_last_key")).agg(F.max_by(F.struct(*rest), F.struct(start, *[x for x in rest if x != start])).alias("_last"))
-    held = df.join(v, (F.col(key) == F.col("_key")) & (F.col(ts) >= F.col(start)) & (F.col(ts) < F.col(end)), "left")
-    both = held.join(newest, F.col(key) == F.col("_last_key"))
-    return both.select(*df.columns, *[F.when(F.col("_key").isNotNull(), F.col(x)).otherwise(F.col(f"_last.{x}")).alias(x) for x in rest])
+        out = placed.withColumn("_found", found).filter(F.col("_found").isNotNull())
+    else:
+        out = placed.withColumn("_found", F.coalesce(found, F.col("_newest")))
+    return out.select("_row.*", "_found.*")
 
 
 def full_diff(a: DataFrame, b: DataFrame, keys: Keys, columns: Keys) -> DataFrame:
@@ -277,10 +315,22 @@ def island_id(df: DataFrame, keys: Keys, order: Keys, changed: Column, alias: st
     return df.withColumn(alias, F.sum(F.when(changed, 1).otherwise(0)).over(frame))
 
 
-def stays(df: DataFrame, key: str, ts: str, tiebreak: str, value: str, min_days: int = 1) -> DataFrame:
-    """(key, value, island, start, end, last_ts, days) of unbroken runs of a value that span at least ``min_days`` days."""
-    before = with_previous(df, [key], [ts, tiebreak], value, "_before")
-    marked = island_id(before, [key], [ts, tiebreak], F.col("_before").isNotNull() & (F.col("_before") != F.col(value)))
+def stays(df: DataFrame, key: str, ts: str, tiebreak: str, value: str, min_days: int = 1, width: float | None = 7) -> DataFrame:
+    """(key, value, island, start, end, last_ts, days) of unbroken runs of a value that span at least ``min_days`` days.
+
+    Changes are counted within slices of ``width`` days of a key, and each slice says its first and last value and how many changes it has; the slices of a key are
+    then stitched, so that a key with very many rows is many tasks.
+    """
+    parts = df.withColumn("_slice", time_slice(df, ts, width))
+    before = with_previous(parts, [key, "_slice"], [ts, tiebreak], value, "_before")
+    changed = lambda before, now: before.isNotNull() & (before != now)
+    local = island_id(before, [key, "_slice"], [ts, tiebreak], changed(F.col("_before"), F.col(value)), "_local")
+    order = F.struct(F.col(ts).isNotNull(), ts, tiebreak)
+    ends = local.groupBy(key, "_slice").agg(F.min_by(F.struct(value), order)[value].alias("_first"), F.max_by(F.struct(value), order)[value].alias("_last"), F.max("_local").alias("_changes"))
+    of = Window.partitionBy(key).orderBy("_slice")
+    started = ends.withColumn("_opens", F.when(changed(F.lag("_last").over(of), F.col("_first")), 1).otherwise(0))
+    offset = started.withColumn("_passed", F.col("_opens") + F.coalesce(F.lag("_changes").over(of), F.lit(0))).select(F.col(key).alias("_key"), F.col("_slice").alias("_part"), F.sum("_passed").over(of.rowsBetween(Window.unboundedPreceding, 0)).alias("_offset"))
+    marked = local.join(offset, local[key].eqNullSafe(F.col("_key")) & (F.col("_slice") == F.col("_part"))).withColumn("island", F.col("_local") + F.col("_offset"))
     return island_summary(marked, [key, value], ts).filter(F.col("days") >= min_days)
 
 

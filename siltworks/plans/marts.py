@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltworks.functions.scalar import as_date, city_zone, hashdiff, md5_bigint, month_of, safe_div, signed, to_local, week_of
+from siltworks.operators import geo as G
 from siltworks.operators import relational as R
 from siltworks.operators.loads import apply_counters, hub_rows, insert_new, link_rows, load_link, missing, satellite_changes
 
@@ -21,7 +22,7 @@ def events_with_cities(events: DataFrame, cities: DataFrame, zones: dict[str, st
     last = known.groupBy("user_id").agg(F.max_by(F.struct("lat", "lon"), F.struct("ts", "event_id")).alias("_last"))
     placed = events.join(last, "user_id", "left").withColumns({"lat": F.coalesce("lat", "_last.lat"), "lon": F.coalesce("lon", "_last.lon")}).drop("_last")
     placed = placed.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    return R.nearest(placed, cities, "lat", "lon").withColumn("zone", city_zone(F.col("city"), zones or {}))
+    return G.nearest_place(placed, cities, "lat", "lon").withColumn("zone", city_zone(F.col("city"), zones or {}))
 
 
 def user_geo_report(ods: DataFrame, min_days: int = 27, message: str = "message") -> DataFrame:
@@ -51,17 +52,15 @@ def zone_mart(ods: DataFrame, types: tuple[str, ...] = ("message", "reaction", "
 def friend_recommendations(ods: DataFrame, subscriptions: DataFrame, messages: DataFrame, km: float = 1.0) -> DataFrame:
     """Pairs (user_left < user_right) that share a channel, never wrote to each other and were last at most ``km`` apart in the same city.
 
-    ``subscriptions``: user_id, channel; ``messages``: user_from, user_to; ``ods``: as events_with_cities returns it. Pairs are made in a city and channel
-    only, so a very large channel multiplies within its cities alone.
+    ``subscriptions``: user_id, channel; ``messages``: user_from, user_to; ``ods``: as events_with_cities returns it. Users of a channel meet
+    those in the same and neighbouring cubes of side ``km`` only, so a very large channel of one city has little more candidates than pairs (see ``pairs_within``).
     """
     last = R.latest_per(ods.filter("user_id IS NOT NULL"), ["user_id"], "ts", "event_id").select("user_id", "city_id", "lat", "lon", "zone", "ts")
-    # users at most ``km`` apart are in the same or neighbouring bands of latitude (a degree is over 110 km), so a large channel meets band by band
-    members = subscriptions.dropna().distinct().join(last, "user_id").withColumn("band", F.floor(F.col("lat") * (110 / km)))
-    sides = [members.select("channel", "city_id", F.col("user_id").alias(f"user_{s}"), F.col("lat").alias(f"lat_{s}"), F.col("lon").alias(f"lon_{s}"), *(["zone", "ts", "band"] if s == "left" else [F.explode(F.expr("sequence(band - 1, band + 1)")).alias("band")])) for s in ("left", "right")]
-    pairs = sides[0].join(sides[1], ["channel", "city_id", "band"]).filter("user_left < user_right")
-    near = R.within_km(pairs, "lat_left", "lon_left", "lat_right", "lon_right", km)
+    members = subscriptions.dropna().distinct().join(last, "user_id")
+    near = G.pairs_within(members, members, km, on=["channel", "city_id"]).filter("l.user_id < r.user_id")
+    near = near.select(F.col("l.user_id").alias("user_left"), F.col("r.user_id").alias("user_right"), "l.city_id", "l.zone", "l.ts")
     wrote = R.canonical_pair(messages, "user_from", "user_to").select(F.col("left").alias("user_left"), F.col("right").alias("user_right"))
-    fresh = R.exclude(near.select("user_left", "user_right", "city_id", "zone", "ts").distinct(), wrote, ["user_left", "user_right"])
+    fresh = R.exclude(near.distinct(), wrote, ["user_left", "user_right"])
     return fresh.select("user_left", "user_right", "city_id", to_local(F.col("ts"), F.col("zone")).alias("local_time"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siltworks.functions import scalar as S
 from siltworks.operators import checks as D
+from siltworks.operators import geo as G
 from siltworks.operators import loads as L
 from siltworks.operators import relational as R
 from siltworks.plans import marts as M
@@ -53,7 +54,7 @@ RATES = "SELECT DISTINCT CAST(400 + user_id % 5 * 10 AS INTEGER) AS currency_cod
 
 
 def derived(t: Tables, sql: str) -> DataFrame:
-    for name in ("nation", "events", "lineitem", "orders"):
+    for name in ("nation", "events", "lineitem", "orders", "customer"):
         getattr(t, name).createOrReplaceTempView(f"siltworks_{name}")
         sql = sql.replace(f"FROM {name}", f"FROM siltworks_{name}").replace(f"JOIN {name}", f"JOIN siltworks_{name}")
     return t.spark.sql(sql)
@@ -923,3 +924,60 @@ def d11_schemas(t):
     """The columns of tables, beside how many rows each table has."""
     tables = {n: getattr(t, n) for n in ("orders", "lineitem", "part")}
     return D.describe_schema(t.spark, tables).join(R.row_counts(tables).withColumnRenamed("n", "n_rows"), "table_name")
+
+
+# -- joins and windows of hot keys, large groups and many places
+
+_HOT_ROWS = "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_orderkey % 3 = 0 THEN 1 ELSE o_custkey END AS user_id, l_shipdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
+_HOT_VERSIONS = "SELECT user_id, version_id, active_from, coalesce(lead(active_from) OVER (PARTITION BY user_id ORDER BY active_from), TIMESTAMP '2001-06-01') AS active_to FROM (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE o_custkey END AS user_id, max(o_orderkey) AS version_id, o_orderdate AS active_from FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' GROUP BY 1, 3)"
+
+
+@query(f"WITH v AS ({_HOT_VERSIONS}), r AS ({_HOT_ROWS}), m AS (SELECT user_id, max_by(version_id, active_from) AS newest FROM v GROUP BY 1) SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate, CASE WHEN l_shipdate < active_to THEN version_id ELSE newest END AS version_id FROM r JOIN m USING (user_id) ASOF LEFT JOIN v ON r.user_id = v.user_id AND l_shipdate >= active_from")
+def j10_asof_hot_key(t):
+    """A third of all rows and versions are of one key, which is cut into slices of a month."""
+    found = R.asof_join(derived(t, _HOT_ROWS), derived(t, _HOT_VERSIONS), "user_id", "l_shipdate", fallback="latest", width=30)
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "version_id")
+
+
+@query(_STAYS.replace("FROM events", "FROM (SELECT event_id, ts, event_type, CASE WHEN event_id % 3 = 0 THEN 7 ELSE user_id END AS user_id FROM events)"))
+def w8_stays_hot_key(t):
+    """A third of all events are one user's, whose days are cut apart and stitched."""
+    events = t.events.withColumn("user_id", F.when(c("event_id") % 3 == 0, 7).otherwise(c("user_id")))
+    return R.stays(events, "user_id", "ts", "event_id", "event_type", 2, width=1)
+
+
+@query("WITH d AS (SELECT DISTINCT c_nationkey AS g, c_custkey AS u FROM customer) SELECT a.u AS left, b.u AS right FROM d a JOIN d b ON a.g = b.g AND a.u < b.u")
+def j5_pairs_in_blocks(t):
+    """Customers of one nation, whose groups are cut into blocks of sixteen."""
+    return R.peer_pairs(t.customer, "c_custkey", "c_nationkey", block=16)
+
+
+SPOTS = "SELECT c_custkey AS city_id, c_name AS city, (c_custkey * 7919 % 18001) / 100.0 - 90 AS lat, (c_custkey * 104729 % 36001) / 100.0 - 180 AS lng FROM customer"
+POINTS = "SELECT event_id, CASE WHEN event_id % 50 <> 0 THEN (event_id * 6007 % 180001) / 1000.0 - 90 END AS lat, (event_id * 90001 % 360001) / 1000.0 - 180 AS lon FROM events"
+_GLOBE_KM = "2 * 6371.0 * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lon) / 2), 2))))"
+
+
+@query(f"WITH a AS ({POINTS}), b AS ({SPOTS}) SELECT event_id, round(min({_GLOBE_KM}), 4) AS distance_km FROM a, b WHERE a.lat IS NOT NULL GROUP BY 1 UNION ALL SELECT event_id, NULL FROM a WHERE lat IS NULL")
+def j17_nearest_of_many(t):
+    """The nearest of as many places as there are customers, over the whole globe, from cubes that are refined together."""
+    found = G.nearest_of_many(derived(t, POINTS), derived(t, SPOTS), "lat", "lon")
+    return found.select("event_id", F.round("distance_km", 4).alias("distance_km"))
+
+
+@query(f"WITH a AS (SELECT city_id, lat, lng AS lon FROM ({SPOTS})), b AS ({SPOTS}) SELECT a.city_id AS a, b.city_id AS b FROM a, b WHERE a.city_id < b.city_id AND {_GLOBE_KM} <= 400")
+def j18_pairs_within(t):
+    """Pairs of places within 400 km, over date line and poles."""
+    places = derived(t, SPOTS)
+    near = G.pairs_within(places, places, 400, "lat", "lng", block=8)
+    return near.select(c("l.city_id").alias("a"), c("r.city_id").alias("b")).filter("a < b")
+
+
+@query(ORACLE_SQL["l7_scd2_several"])
+def l7_scd2_late_rows(t):
+    """The same history as by ordered arrival, from three loads in which rows come long after later ones."""
+    log = t.orders.select(c("o_custkey").alias("k"), c("o_orderstatus").alias("s"), c("o_orderpriority").alias("p"), c("o_orderdate").alias("dt"), F.pmod(F.xxhash64("o_orderkey"), F.lit(3)).alias("load"))
+    versions = t.spark.createDataFrame([], "k bigint, s string, p string, active_from timestamp, active_to timestamp")
+    seen = t.spark.createDataFrame([], "k bigint, s string, p string, dt timestamp")
+    for n in (2, 0, 1):
+        versions, seen = L.scd2_of_log(log.filter(c("load") == n), versions, seen, "k", ["s", "p"], "dt")
+    return versions
