@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from siltworks.llm import quality
 from siltworks.llm.queries import QUERIES, table
 from siltworks.llm.quality import forward_backward, score_quality
 from siltworks.llm.toxicity import score_toxicity
@@ -97,3 +98,11 @@ def test_crf_score_as_enumeration_over_lines():
         good = np.array([sum(v for y, v in of.items() if y[i]) for i in range(n)]) / sum(of.values())
         p = np.clip((good * (length + 1.0)).sum() / (length + 1.0).sum(), 1e-6, 1 - 1e-6)
         assert score == pytest.approx(1 / (1 + np.exp(-(crf.slope * np.log(p / (1 - p)) + crf.shift))))
+
+
+def test_features_in_parts_are_those_of_all(monkeypatch):
+    texts = ["a line\nAND ONE\n\na line", "", "x" * 500, "last one!\n"] * 9
+    whole = quality.line_features(texts)
+    for size in (1, 300, 10**9):
+        monkeypatch.setattr(quality, "CHUNK", size)
+        assert all((a == b).all() for a, b in zip(quality.features_in_parts(texts), whole))
