@@ -1,4 +1,4 @@
-"""Data-quality checks, each one pass over its input."""
+"""Data-quality checks: each is one pass over what it reads, a profile one for each column."""
 
 from __future__ import annotations
 
@@ -17,10 +17,9 @@ def null_rate(df: DataFrame, column: str) -> DataFrame:
 
 
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column_name, n_rows, n_present, n_distinct of each column; sketches no counts, one aggregation for all."""
-    aggs = [F.count("*").alias("n")] + [f for i, c in enumerate(columns) for f in (F.count(c).alias(f"p{i}"), F.count_distinct(c).alias(f"d{i}"))]
-    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col("n").alias("n_rows"), F.col(f"p{i}").alias("n_present"), F.col(f"d{i}").alias("n_distinct")) for i, c in enumerate(columns)])
-    return df.agg(*aggs).select(F.inline(rows))
+    """column_name, n_rows, n_present, n_distinct of each column. Each is a pass that reads its column alone and counts its values map-side, so no row is copied for another column."""
+    one = lambda c: df.groupBy(F.col(c).alias("_v")).agg(F.count("*").alias("_n")).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum(F.when(F.col("_v").isNotNull(), F.col("_n"))), F.lit(0)).alias("n_present"), F.count("_v").alias("n_distinct"))
+    return reduce(DataFrame.unionByName, [one(c).select(F.lit(c).alias("column_name"), "n_rows", "n_present", "n_distinct") for c in columns])
 
 
 def violations(df: DataFrame, condition: Column) -> DataFrame:

@@ -229,7 +229,20 @@ def filtered_agg(df: DataFrame, keys: Keys, aggs: dict[str, tuple[str, str]]) ->
 
 
 def distinct_counts(df: DataFrame, keys: Keys, columns: Keys) -> DataFrame:
-    return df.groupBy(*keys).agg(*[F.count_distinct(c).alias(f"n_{c}") for c in columns])
+    """Exact numbers of distinct values of each column, n_<column>, for each key; nulls are no value.
+
+    Each column is a pass of its own, which reads the keys and that column alone and aggregates map-side; one aggregation of several distinct counts would copy
+    every row once a column before that. The passes are joined by their keys, a row for each.
+    """
+    if len(columns) == 1:
+        return df.groupBy(*keys).agg(F.count_distinct(columns[0]).alias(f"n_{columns[0]}"))
+    marks = [f"_key{i}" for i in range(len(keys))]
+    parts = [df.select(*[F.col(k).alias(m) for k, m in zip(keys, marks)], c).distinct().groupBy(*marks).agg(F.count(c).alias(f"n_{c}")) for c in columns]
+    out = parts[0]
+    for part in parts[1:]:
+        other = part.withColumnsRenamed({m: f"{m}_" for m in marks})
+        out = out.join(other, reduce(lambda x, y: x & y, [F.col(m).eqNullSafe(F.col(f"{m}_")) for m in marks], F.lit(True))).drop(*[f"{m}_" for m in marks])
+    return out.select(*[F.col(m).alias(k) for k, m in zip(keys, marks)], *[f"n_{c}" for c in columns])
 
 
 def agg_by(df: DataFrame, keys: Keys, aggs: dict[str, str]) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from siltworks.operators import checks as D
 from siltworks.operators import geo as G
 from siltworks.operators import loads as L
 from siltworks.operators import relational as R
@@ -146,3 +147,13 @@ def test_nearest_of_many_places(spark):
     nothing = G.nearest_of_many(r, p.limit(0), "lat", "lon")
     assert nothing.count() == len(rows) and nothing.filter("city_id IS NOT NULL").count() == 0
     assert sorted(map(repr, ((x.id, x.city_id) for x in G.nearest_place(r, p, "lat", "lon", most_places=100).collect()))) == sorted(map(repr, (w[:2] for w in want)))
+
+
+def test_several_distinct_counts_copy_no_row(spark):
+    rows = [(1, "a", 5), (1, "b", 5), (1, None, 6), (2, None, None), (None, "a", 1), (None, "a", 2)]
+    df = spark.createDataFrame(rows, "k int, s string, v int")
+    out = R.distinct_counts(df, ["k"], ["s", "v"])
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, [(1, 2, 2), (2, 0, 0), (None, 1, 2)]))
+    assert "Expand" not in plan(out) and "Expand" not in plan(D.profile(df, ["k", "s", "v"]))
+    assert sorted(map(tuple, D.profile(df, ["k", "s", "v"]).collect())) == [("k", 6, 4, 2), ("s", 6, 4, 2), ("v", 6, 5, 4)]
+    assert sorted(map(tuple, D.profile(df.limit(0), ["k"]).collect())) == [("k", 0, 0, 0)]
