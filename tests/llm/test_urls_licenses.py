@@ -1,10 +1,14 @@
+import collections
 import math
+import pathlib
+import re
 import zlib
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
-from siltworks.llm.licenses import BODIES, scan_licenses
+from siltworks.llm.licenses import BODIES, TEMPLATES, TITLES, cosines, expression, scan_licenses
 from siltworks.llm.queries import RULES
 from siltworks.llm.urls import filter_urls
 
@@ -102,3 +106,62 @@ def test_licence_bodies_headers_and_identifiers(spark):
     got = {r.id: (r.license, r.how) for r in scan_licenses(spark.createDataFrame(rows, "id bigint, path string, text string"), spark).collect()}
     assert [got[i] for i in range(len(texts))] == [(k, "own") for k in texts]
     assert (got[100], got[101], got[102], got[None], got[103], got[104]) == (("GPL-2.0", "own"), ("BSD-2-Clause", "own"), ("BSD-2-Clause", "inherited"), ("ISC", "own"), ("ISC", "inherited"), (None, None))
+
+
+BOOST = """Boost Software License - Version 1.0 - August 17th, 2003
+
+Permission is hereby granted, free of charge, to any person or organization
+obtaining a copy of the software and accompanying documentation covered by
+this license (the "Software") to use, reproduce, display, distribute,
+execute, and transmit the Software, and to prepare derivative works of the
+Software, and to permit third-parties to whom the Software is furnished to
+do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including
+the above license grant, this restriction and the following disclaimer,
+must be included in all copies of the Software.
+"""
+REAL = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+
+
+def real_licences():
+    out = {"BSL-1.0": BOOST, "BSL-1.0 untitled": BOOST.split("\n\n", 1)[1]}
+    for name in REAL:
+        path = pathlib.Path("/usr/share/common-licenses", name)
+        if path.exists():
+            out[name] = path.read_text()
+    return out
+
+
+def test_real_licence_files(spark):
+    texts = real_licences()
+    rows = [(i, f"p{i}/COPYING", t) for i, t in enumerate(texts.values())] + [(100 + i, f"p{i}/src/x.c", "int main;") for i in range(len(texts))]
+    rows += [(900, "long/COPYING", texts["BSL-1.0"] + "\nand more words\n" * 30000), (901, "part/NOTICE", "\n".join(next(t for n, t in texts.items() if n in ("GPL-2", "BSL-1.0")).splitlines()[:40]))]
+    got = {r.id: (r.license, r.from_id) for r in scan_licenses(spark.createDataFrame(rows, "id bigint, path string, text string"), spark).collect()}
+    for i, name in enumerate(texts):
+        want = REAL.get(name, "BSL-1.0")
+        assert (got[i], got[100 + i]) == ((want, i), (want, i)), name
+    assert got[900][0] == "BSL-1.0"
+
+
+def test_cosines_as_by_definition(spark):
+    notices = {i: t[:4000] for i, t in enumerate([*real_licences().values(), *BODIES.values(), "no such words", ""])}
+    templates = [(k, t) for k, texts in {**TEMPLATES, **TITLES}.items() for t in texts] + list(BODIES.items())
+    words = lambda t: collections.Counter(w for w in re.split(r"[\W_]+", t.lower()) if w)
+    every = [words(t) for t in notices.values()] + [words(t) for _, t in templates]
+    df = collections.Counter(w for x in every for w in x)
+    weights = [{w: n * (math.log((len(every) + 1) / (df[w] + 1)) + 1) for w, n in x.items()} for x in every]
+    norm = lambda x: math.sqrt(sum(v * v for v in x.values()))
+    want = {}
+    for i, x in enumerate(weights[: len(notices)]):
+        scores = [(-round(sum(v * y.get(w, 0) for w, v in x.items()) / norm(x) / norm(y), 6) if x else 0, k) for (k, _), y in zip(templates, weights[len(notices) :])]
+        if min(scores)[0] < 0:
+            want[i] = (-min(scores)[0],)
+    got = cosines(spark.createDataFrame([(str(i), t) for i, t in notices.items()], "key string, notice string"), spark.createDataFrame(templates, "license string, text string")).collect()
+    assert {int(r.key): (round(r.score, 6),) for r in got} == {k: pytest.approx(v, abs=2e-6) for k, v in want.items()}
+
+
+def test_expressions(spark):
+    lines = ["// SPDX-License-Identifier: BSL-1.0", "/* SPDX-License-Identifier: MIT OR Apache-2.0 */", "# SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR  BSD-3-Clause", "<!-- SPDX-License-Identifier: GPL-2.0+ -->", "SPDX-License-Identifier: MIT OR Nothing-Known", "SPDX-License-Identifier:", None]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in lines], "t string").select(expression(F.col("t"))).collect()]
+    assert got == ["BSL-1.0", "MIT OR Apache-2.0", "(GPL-2.0-only WITH Linux-syscall-note) OR BSD-3-Clause", "GPL-2.0+", None, None, None]
