@@ -10,7 +10,7 @@ from siltworks.llm.shared import ascii_lower, scratch, split_by, stored
 
 #: Words are runs of 0-9, a-z and all beyond ASCII, after A-Z became a-z; the rest separates them.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Rows that are broadcast at once; more of them take more passes over the index, never a shuffle of it.
+#: Rows that are broadcast at most; more of them meet the index in a join that moves each posting once.
 BROADCAST_ROWS = 200_000
 #: A row of documents: its id, and a hash of its text, since texts may share an id.
 ROW = ["doc_id", "text_hash"]
@@ -38,14 +38,14 @@ def item_terms(items: DataFrame) -> DataFrame:
 def build_index(docs: DataFrame) -> DataFrame:
     """Stored postings (term, doc_id, text_hash, pos) of all words of whole texts; a row with null term has a document's number of words as pos.
 
-    The index is partitioned by document and in the order of the texts, as the input is: building it neither moves tokens between
-    tasks, however often a term occurs, nor sorts them. Only the lists that are asked for are sorted by term, once they are read from it.
+    The index is partitioned by document, as the input is, so building it moves no token between tasks, however often a term occurs. Within a part it is
+    inverted: sorted by a hash of the term, which Spark does by radix, so a term's postings there are one list.
     """
     ends = F.when(F.element_at("w", 2) == "", 1).otherwise(0) + F.when((F.size("w") > 2) & (F.element_at("w", -1) == ""), 1).otherwise(0)
     listed = rows_of(docs).select(*ROW, tokens(F.col("text")).alias("w")).withColumn("n", F.size("w") - 1 - ends)
     each = listed.select(*ROW, "n", F.posexplode("w").alias("pos", "term")).filter("term <> ''")
     rows = each.select(F.when(F.col("pos") > 0, F.col("term")).alias("term"), *ROW, F.when(F.col("pos") > 0, F.col("pos")).otherwise(F.col("n")).alias("pos"))
-    return stored(rows, "postings")
+    return stored(rows.sortWithinPartitions(F.xxhash64("term")), "postings")
 
 
 def term_counts(index: DataFrame, terms: DataFrame) -> DataFrame:
@@ -73,13 +73,10 @@ def rarest_of_items(counts: DataFrame, terms: DataFrame, most: int) -> DataFrame
 
 
 def met(index: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The join of the postings with the stored ``wanted`` by term. The index stays where it is: ``wanted`` is broadcast, BROADCAST_ROWS of it in each pass."""
-    passes, out = -(-wanted.count() // BROADCAST_ROWS) or 1, None
-    for k in range(passes):
-        part = wanted.filter(F.pmod(F.xxhash64(F.lit(7), *wanted.columns), F.lit(passes)) == k) if passes > 1 else wanted
-        found = index.join(F.broadcast(part), "term")
-        out = found if out is None else out.unionByName(found)
-    return out
+    """The join of the postings with the stored ``wanted`` by term, one scan of the index. Up to BROADCAST_ROWS of ``wanted`` are broadcast and the index stays where it is; more take a
+    sort-merge join, whose skewed terms adaptive execution splits, as both sides are stored."""
+    few = wanted.count() <= BROADCAST_ROWS
+    return index.join(F.broadcast(wanted) if few else wanted.hint("merge"), "term")
 
 
 def diagonals(lists_: DataFrame, anchors: DataFrame, terms: DataFrame, window: int, lists: int) -> DataFrame:
