@@ -12,8 +12,8 @@ RULES: urls.Rules = (("block", "net/"), ("allow", "example.net/en/"), ("block",
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages that stand in several documents. The operator finds those that repeat within one as well."""
-    return substrings.repeated_passages(table(spark, sf_dir, "documents"), within=False)
+    """Passages that stand in several documents or several times in one."""
+    return substrings.repeated_passages(table(spark, sf_dir, "documents"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
