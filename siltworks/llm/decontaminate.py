@@ -38,14 +38,15 @@ def item_terms(items: DataFrame) -> DataFrame:
 def build_index(docs: DataFrame) -> DataFrame:
     """Stored postings (term, doc_id, text_hash, pos) of all words of whole texts; a row with null term has a document's number of words as pos.
 
-    The index is partitioned by document, as the input is, so building it moves no token between tasks, however often a term occurs. Within a part it is
-    inverted: sorted by a hash of the term, which Spark does by radix, so a term's postings there are one list.
+    The index is partitioned by document and in the order of the texts, as the input is: building it neither moves tokens between
+    tasks, however often a term occurs, nor sorts them (sorting them by term takes an executor beyond its memory, see README). The lists that are asked for are
+    inverted, sorted by term, once they are read from it.
     """
     ends = F.when(F.element_at("w", 2) == "", 1).otherwise(0) + F.when((F.size("w") > 2) & (F.element_at("w", -1) == ""), 1).otherwise(0)
     listed = rows_of(docs).select(*ROW, tokens(F.col("text")).alias("w")).withColumn("n", F.size("w") - 1 - ends)
     each = listed.select(*ROW, "n", F.posexplode("w").alias("pos", "term")).filter("term <> ''")
     rows = each.select(F.when(F.col("pos") > 0, F.col("term")).alias("term"), *ROW, F.when(F.col("pos") > 0, F.col("pos")).otherwise(F.col("n")).alias("pos"))
-    return stored(rows.sortWithinPartitions(F.xxhash64("term")), "postings")
+    return stored(rows, "postings")
 
 
 def term_counts(index: DataFrame, terms: DataFrame) -> DataFrame:
