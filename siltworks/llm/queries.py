@@ -17,28 +17,34 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severity of each document; null and empty texts get the clean grade's score, repeated rows the same one."""
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of benchmark items in each document, with a digest of the items' ids; null texts have no words."""
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "n_near")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each document's ids and of the bytes that they decode to; null texts are empty."""
     coded = bpe.round_trip(table(spark, sf_dir, "documents"), rank_file())
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of each document; labels are learnt from, held-out rows never."""
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of each document and the least doc_id that links of at most four bits reach."""
     return simhash.near_dedup(table(spark, sf_dir, "documents"))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule of each page's url, or the verdict of the two character models."""
     return urls.filter_urls(table(spark, sf_dir, "pages"), RULES)
 
 
@@ -49,10 +55,12 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row that stays for each document's normalised text; null counts as empty."""
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of each page; null and empty pages have an empty one."""
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
 
@@ -91,6 +99,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of the documents that all stages keep."""
     return stages.run(spark, sf_dir)
 
 
