@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from siltworks.llm.labelled import labelled_sample
 
 WORD = re.compile(r"[^\W_]+")
-#: Grades of severity: 0 clean, 1 to 3 by how much of the text is toxic.
+#: Grades of severity: 0 clean, 1 to 3 by how many of its words are telling in other toxic texts (see ``severity_grades``).
 GRADES = 4
 #: Length of the word beginnings that are features beside whole words: they carry over to other endings.
 STEMS = (4, 5)
