@@ -102,7 +102,7 @@ def expression(text):
     found = F.trim(F.regexp_replace(F.regexp_extract(text, rf"SPDX-License-Identifier:[ \t]*({name}(?:[ \t]+(?:AND|OR|WITH)[ \t]+{name})*)", 1), r"\s+", " "))
     names = F.filter(F.split(found, r"[ ()]+"), lambda w: ~w.isin("", "AND", "OR", "WITH"))
     known = sorted({*IDENTIFIERS, *TEMPLATES, *BODIES, *TITLES})
-    return F.when((F.size(names) > 0) & F.forall(names, lambda w: F.regexp_replace(w, r"\+$", "").isin(known)), found)
+    return F.when(F.contains(text, F.lit("SPDX-License-Identifier:")), F.when((F.size(names) > 0) & F.forall(names, lambda w: F.regexp_replace(w, r"\+$", "").isin(known)), found))
 
 
 def terms(text):
@@ -171,7 +171,7 @@ def _own_licenses(files: DataFrame, spark: SparkSession, at_least: float, templa
     asked = files.select(F.struct(F.col("id").isNull().alias("none"), "id").alias("file"), F.coalesce("path", F.lit("")).alias("path"), "text")
     name, folder = F.regexp_extract("path", r"[^/]*$", 0), F.regexp_extract("path", r"^/*(.*?)/+[^/]*$", 1)
     named = F.lower(name).rlike(r"^(licen[cs]e|copying)")
-    keyed = asked.filter(_has_key(F.lower("text"), KEYS + BODY_KEYS) | named)
+    keyed = stored(asked.filter(_has_key(F.lower("text"), KEYS + BODY_KEYS) | named), "keyed")  # the one scan of all texts
     lines = keyed.select("file", F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("line", "notice"))
     # the first line with text: whether all before it are blank
     firsts = stored(lines.filter(F.trim("notice") != "").groupBy("file").agg(F.min("line").alias("first")), "firsts")
