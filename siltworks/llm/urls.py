@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltworks.llm.shared import ASCII_LOWER, ASCII_UPPER, stored
+from siltworks.llm.shared import ASCII_LOWER, ASCII_UPPER, scratch, stored
 
 #: (verdict, host/path): fits the host and all its subdomains if the url's path starts with the rule's.
 Rules = tuple[tuple[str, str], ...]
@@ -73,20 +73,22 @@ def filter_urls(pages: DataFrame, rules: Rules, order: int = 5) -> DataFrame:
     count and are judged each. Only page_id and url are read. Native expressions only.
     """
     parts = pages.select("page_id", "url").withColumns(url_parts(F.col("url"))).withColumns(rule_of(rules))
-    held_out = F.expr("pmod(crc32(coalesce(url, '')), 5) = 0")
-    labelled = parts.withColumns({"row": F.monotonically_increasing_id(), "a": ((F.col("ruled") == "allow") & ~held_out).cast("int"), "r": ((F.col("ruled") == "block") & ~held_out).cast("int"), "held_out": held_out})
-    labelled = stored(labelled.fillna(0, ["a", "r"]), "labelled")
-    gram, padded = grams(F.coalesce("url", F.lit("")), order)
-    each = labelled.select("row", "a", "r", padded.alias("p")).select("row", "a", "r", gram.alias("gram"))
-    counts = stored(each.groupBy("gram").agg(F.sum("a").alias("a"), F.sum("r").alias("r")), "counts")
-    scores = stored(gram_scores(counts, order), "scores")
-    scored = each.select("row", "gram").join(scores, "gram").groupBy("row").agg(F.round(F.avg("score"), 9).alias("score"))
-    scored = stored(labelled.join(stored(scored, "scored"), "row"), "judged")
-    at = scored.filter("held_out").groupBy("ruled").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("deviation"))
-    of = {r["ruled"]: r for r in at.collect()}  # three rows at most
-    threshold = 0.0
-    if "allow" in of and "block" in of:
-        (m, d), (n, e) = ((of[k]["mean"], of[k]["deviation"] + 1e-9) for k in ("allow", "block"))
-        threshold = (m * e + n * d) / (d + e)
+    with scratch(pages.sparkSession) as keep:
+        held_out = F.expr("pmod(crc32(coalesce(url, '')), 5) = 0")
+        labelled = parts.withColumns({"row": F.monotonically_increasing_id(), "a": ((F.col("ruled") == "allow") & ~held_out).cast("int"), "r": ((F.col("ruled") == "block") & ~held_out).cast("int"), "held_out": held_out})
+        labelled = stored(labelled.fillna(0, ["a", "r"]), "labelled")
+        gram, padded = grams(F.coalesce("url", F.lit("")), order)
+        each = labelled.select("row", "a", "r", padded.alias("p")).select("row", "a", "r", gram.alias("gram"))
+        counts = stored(each.groupBy("gram").agg(F.sum("a").alias("a"), F.sum("r").alias("r")), "counts")
+        scores = stored(gram_scores(counts, order), "scores")
+        scored = each.select("row", "gram").join(scores, "gram").groupBy("row").agg(F.round(F.avg("score"), 9).alias("score"))
+        scored = stored(labelled.join(stored(scored, "scored"), "row"), "judged")
+        at = scored.filter("held_out").groupBy("ruled").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("deviation"))
+        of = {r["ruled"]: r for r in at.collect()}  # three rows at most
+        threshold = 0.0
+        if "allow" in of and "block" in of:
+            (m, d), (n, e) = ((of[k]["mean"], of[k]["deviation"] + 1e-9) for k in ("allow", "block"))
+            threshold = (m * e + n * d) / (d + e)
+        keep(scored)
     judged = F.when(F.col("score") >= threshold, "allow").otherwise("block")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", judged).alias("verdict"), "score")
