@@ -104,6 +104,26 @@ def test_pairs_of_a_large_group_in_blocks(spark):
         assert sorted(map(tuple, R.peer_pairs(df, "u", "g", block).collect())) == want
 
 
+def test_pairs_are_made_once_and_not_shuffled(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = [(u, g) for u in range(60) for g in rng.sample(range(90), rng.randint(0, 12))] + [(u, 200 + u // 2) for u in range(60)] + [(u, 500 + k) for u in (3, 4) for k in range(70)]
+    df, groups = spark.createDataFrame(rows, "u int, g int"), {}
+    for u, g in rows:
+        groups.setdefault(g, set()).add(u)
+    want = sorted({(a, b) for x in groups.values() for a in x for b in x if a < b})
+    for largest, listed, block in ((63, 64, 3), (5, 64, 3), (0, 4, 50), (63, 0, 2), (5, 3, 1)):
+        monkeypatch.setattr(R, "LARGEST", largest)
+        monkeypatch.setattr(R, "LISTED", listed)
+        assert sorted(map(tuple, R.peer_pairs(df, "u", "g", block).collect())) == want
+    # of a group cut into sixteen blocks a member goes to at most five squares, where it went to sixteen, and its pairs stay where they are made
+    one = R.peer_pairs(spark.range(1600).selectExpr("id AS u", "1 AS g"), "u", "g", 100)
+    keys = "keys=[left#"
+    text = plan(one)
+    at = next(i for i, line in enumerate(text.splitlines()) if "Union" in line)
+    before_union = text.splitlines()[:at]
+    assert not any(keys in line or "Exchange" in line for line in before_union) and one.count() == 1600 * 1599 // 2
+
+
 def test_candidates_of_one_city_follow_its_pairs(spark):
     def city(n):
         rng = random.Random(6)
