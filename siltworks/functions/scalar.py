@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,6 +60,11 @@ def to_decimal(value: Column, precision: int, scale: int) -> Column:
     return value.cast(f"decimal({precision},{scale})")
 
 
+def nearest_decimal(value: Column, precision: int, scale: int) -> Column:
+    """A double as a decimal by its binary value times ten to the scale, halves away from zero, as DuckDB casts it. Spark's own cast rounds the shortest text of the double: 525.675 gives 525.68, here 525.67 (525.675 * 100 = 52567.49999999999)."""
+    return (F.round(value * F.lit(float(10**scale))).cast(f"decimal({precision},0)") * F.lit(Decimal(1).scaleb(-scale))).cast(f"decimal({precision},{scale})")
+
+
 def try_as(value: Column, kind: str) -> Column:
     """Null where the cast fails."""
     return value.try_cast(kind)

@@ -873,7 +873,7 @@ def m1_events_whole(t):
        "SELECT CAST(l_orderkey AS VARCHAR) AS order_id, CAST(l_partkey AS VARCHAR) AS product_id, l_partkey * 3 + CASE WHEN o_orderdate < TIMESTAMP '1996-01-01' THEN 1 WHEN o_orderdate < TIMESTAMP '1999-01-01' THEN 2 ELSE 0 END AS version_id, q AS count, CAST(price AS DOUBLE) AS price, CAST(price * q AS DOUBLE) AS total_sum, CAST(pay AS DOUBLE) AS bonus_payment, CAST(grnt AS DOUBLE) AS bonus_grant FROM l JOIN part ON l_partkey = p_partkey")
 def m7_product_sales_whole(t):
     """Every line of every order as it stands in the events, with its bonuses; products of three versions, of which the last is closed, so a fact before or after all of them takes the newest."""
-    item = F.struct(c("l_partkey").cast("string").alias("product_id"), c("l_extendedprice").cast("decimal(14,2)").alias("price"), c("l_quantity").cast("int").alias("quantity"), (c("l_extendedprice") * 0.01).cast("decimal(14,2)").alias("bonus_payment"), (c("l_tax") * 100).cast("decimal(14,2)").alias("bonus_grant"))
+    item = F.struct(c("l_partkey").cast("string").alias("product_id"), c("l_extendedprice").cast("decimal(14,2)").alias("price"), c("l_quantity").cast("int").alias("quantity"), S.nearest_decimal(c("l_extendedprice") * 0.01, 14, 2).alias("bonus_payment"), S.nearest_decimal(c("l_tax") * 100, 14, 2).alias("bonus_grant"))
     grouped = t.lineitem.groupBy(c("l_orderkey").cast("string").alias("order_id")).agg(F.collect_list(item).alias("product_payments"))
     events = grouped.select(F.to_json(F.struct("order_id", "product_payments")).alias("event_value"))
     at = ("1990-01-01", "1996-01-01", "1999-01-01", "2099-12-31")

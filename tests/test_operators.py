@@ -39,6 +39,17 @@ def test_scalars(spark):
     assert row.local == dt.datetime(2024, 5, 1, 10) and row.t is None and row.e == 5 and len(row.d) == 36 and row.n == 0
 
 
+def test_doubles_near_a_half_cent_round_as_in_duckdb(spark):
+    import duckdb
+
+    prices = [52567.5, 25752.5, 51829.5, 56429.5, 103321.5, 12.5, 37.5, -52567.5, -12.5, 0.0, 17.3]
+    rows = spark.createDataFrame([(p,) for p in prices], "p double").select("p", S.nearest_decimal(F.col("p") * 0.01, 14, 2).cast("double").alias("d")).collect()
+    for p, d in rows:
+        assert d == duckdb.execute("SELECT CAST(CAST(? AS DOUBLE) * 0.01::DOUBLE AS DECIMAL(14,2))::DOUBLE", [p]).fetchone()[0]
+    assert dict(map(tuple, rows))[52567.5] == 525.67
+    assert spark.range(1).select(S.nearest_decimal(F.lit(None).cast("double"), 14, 2)).first()[0] is None
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text("id,name\n1,x\noops,y\n,z\n")
     good, bad = T.load_with_rejects(spark, str(tmp_path / "a.csv"), StructType([StructField("id", LongType()), StructField("name", StringType())]))
