@@ -148,7 +148,10 @@ def asof_join(df: DataFrame, versions: DataFrame, key: str, ts: str, start: str
     """
     rest = [x for x in versions.columns if x != key]
     v = versions.filter(F.col(key).isNotNull() & F.col(start).isNotNull()).select(F.col(key).alias("_key"), time_slice(versions, start, width).alias("_slice"), F.col(start).alias("_at"), F.struct(*rest).alias("_version"))
-    rows = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("_key"), time_slice(df, ts, width).alias("_slice"), F.col(ts).alias("_at"), F.struct(*df.columns).alias("_row"))
+    # key and time are in the sequence already, where both sides have one type for them
+    known = {c: at for c, at, other in ((key, "_key", key), (ts, "_at", start)) if df.schema[c].dataType == versions.schema[other].dataType}
+    rest_of_row = [c for c in df.columns if c not in known]
+    rows = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("_key"), time_slice(df, ts, width).alias("_slice"), F.col(ts).alias("_at"), F.struct(*(rest_of_row or [F.lit(True).alias("_is")])).alias("_row"))
     newest = F.max_by("_version", F.struct("_at", f"_version.{end}", "_version"))
     # a row for each key and slice that has rows or versions: the last version before it, and the newest of all
     some = v.groupBy("_key", "_slice").agg(newest.alias("_last")).unionByName(rows.select("_key", "_slice").distinct(), allowMissingColumns=True)
@@ -165,7 +168,7 @@ def asof_join(df: DataFrame, versions: DataFrame, key: str, ts: str, start: str
         out = placed.withColumn("_found", found).filter(F.col("_found").isNotNull())
     else:
         out = placed.withColumn("_found", F.coalesce(found, F.col("_newest")))
-    return out.select("_row.*", "_found.*")
+    return out.select(*[F.col(known[c]).alias(c) if c in known else F.col("_row")[c].alias(c) for c in df.columns], "_found.*")
 
 
 def full_diff(a: DataFrame, b: DataFrame, keys: Keys, columns: Keys) -> DataFrame:

@@ -93,9 +93,9 @@ def product_sales(bonus_events: DataFrame, orders: DataFrame, products: DataFram
     """
     lines = R.explode_json(bonus_events.select(F.get_json_object("event_value", "$.order_id").alias("order_id"), F.get_json_object("event_value", "$.product_payments").alias("payments")), "payments", "struct<product_id string, price decimal(14,2), quantity int, bonus_payment decimal(14,2), bonus_grant decimal(14,2)>")
     split = lines.select("order_id", "item.*")
-    # of a product's lines in an order the greatest by price, quantity and bonuses counts
-    newest = R.top_per(split, ["order_id", "product_id"], [F.desc_nulls_last(x) for x in split.columns if x not in ("order_id", "product_id")])
-    found = R.asof_join(newest.join(orders, "order_id"), products, "product_id", "order_ts", fallback="latest")
+    # of a product's lines in an order the greatest by price, quantity and bonuses counts; dealt by order, as the join with the orders needs them too
+    newest = R.top_per(split.repartition("order_id"), ["order_id", "product_id"], [F.desc_nulls_last(x) for x in split.columns if x not in ("order_id", "product_id")])
+    found = R.asof_join(newest.join(orders, "order_id"), products, "product_id", "order_ts", fallback="latest", width=365)
     return found.select("order_id", "product_id", "version_id", F.col("quantity").alias("count"), "price", (F.col("price") * F.col("quantity")).cast("decimal(14,2)").alias("total_sum"), "bonus_payment", "bonus_grant")
 
 
