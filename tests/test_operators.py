@@ -50,6 +50,22 @@ def test_doubles_near_a_half_cent_round_as_in_duckdb(spark):
     assert spark.range(1).select(S.nearest_decimal(F.lit(None).cast("double"), 14, 2)).first()[0] is None
 
 
+def test_guest_lines_are_joined_once(spark):
+    from siltworks.plans import registry
+
+    vault = registry.QUERIES["m13_guest_vault_rows"](spark, "/root/testdata/sf0.001")
+    text = vault._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in text and "o_custkey" not in text  # the lines are read as they were stored
+    lines = spark.createDataFrame([("a", "b"), ("a", "b"), ("a", None), ("c", "d")], "x string, y string")
+    link = spark.createDataFrame([], "link_key string, hk_x string, hk_y string, load_dt timestamp, load_src string")
+    now = F.lit("2024-01-01").cast("timestamp")
+    first = L.load_link(lines.limit(2), link, ["x", "y"], "s", now)
+    assert L.missing_links(lines, first, ["x", "y"], "s", now).columns == link.columns
+    assert L.load_link(lines, first, ["x", "y"], "s", now).count() == 2
+    text = L.missing_links(lines, link, ["x", "y"], "s", now)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("hk_x") < text.index("Window")  # hub keys are made above the shuffles
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text("id,name\n1,x\noops,y\n,z\n")
     good, bad = T.load_with_rejects(spark, str(tmp_path / "a.csv"), StructType([StructField("id", LongType()), StructField("name", StringType())]))
