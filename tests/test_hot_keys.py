@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from siltworks.functions.scalar import haversine_km
 from siltworks.operators import checks as D
 from siltworks.operators import geo as G
 from siltworks.operators import loads as L
@@ -177,3 +178,13 @@ def test_several_distinct_counts_copy_no_row(spark):
     assert "Expand" not in plan(out) and "Expand" not in plan(D.profile(df, ["k", "s", "v"]))
     assert sorted(map(tuple, D.profile(df, ["k", "s", "v"]).collect())) == [("k", 6, 4, 2), ("s", 6, 4, 2), ("v", 6, 5, 4)]
     assert sorted(map(tuple, D.profile(df.limit(0), ["k"]).collect())) == [("k", 0, 0, 0)]
+
+
+def test_pairs_of_a_small_table_are_many_tasks(spark):
+    df = spark.range(0, 300, 1, 1).selectExpr("id", "10 + id % 20 / 10.0 AS lat", "20 + floor(id / 20) / 10.0 AS lon")
+    for where in (None, "l.id < r.id"):
+        near = G.pairs_within(df, df, 40, where=where).selectExpr("l.id AS a", "r.id AS b", "distance_km", "spark_partition_id() AS task").collect()
+        assert len({x.task for x in near}) > 1
+        want = df.toDF("a", "lat", "lon").crossJoin(df.toDF("b", "lat2", "lon2")).select("a", "b", haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")).alias("km")).filter("km <= 40")
+        assert sorted((x.a, x.b) for x in near) == sorted((x.a, x.b) for x in want.collect() if where is None or x.a < x.b)
+        assert max(x.distance_km for x in near) <= 40
