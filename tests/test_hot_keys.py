@@ -11,6 +11,7 @@ from siltworks.operators import checks as D
 from siltworks.operators import geo as G
 from siltworks.operators import loads as L
 from siltworks.operators import relational as R
+from siltworks.plans import marts as M
 
 
 def km(a, b):
@@ -188,3 +189,22 @@ def test_pairs_of_a_small_table_are_many_tasks(spark):
         want = df.toDF("a", "lat", "lon").crossJoin(df.toDF("b", "lat2", "lon2")).select("a", "b", haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")).alias("km")).filter("km <= 40")
         assert sorted((x.a, x.b) for x in near) == sorted((x.a, x.b) for x in want.collect() if where is None or x.a < x.b)
         assert max(x.distance_km for x in near) <= 40
+
+
+def test_friends_are_made_once_with_and_without_lists(spark, monkeypatch):
+    ods = spark.range(60).selectExpr("id AS user_id", "id % 2 AS city_id", "-33 - id % 6 / 500.0 AS lat", "151 + id % 5 / 500.0 AS lon", "'Australia/Sydney' AS zone", "timestamp '2024-01-01' AS ts", "id AS event_id")
+    subscriptions = spark.range(400).selectExpr("id * 7 % 61 AS user_id", "id % 9 AS channel")
+    messages = spark.range(300).selectExpr("id % 60 AS user_from", "id * 13 % 59 AS user_to")
+    wrote = {(min(x), max(x)) for x in messages.collect()}
+    channels, at = {}, {x.user_id: x for x in ods.collect()}
+    for x in subscriptions.collect():
+        channels.setdefault(x.user_id, set()).add(x.channel)
+    near = {(x.a, x.b) for x in G.pairs_within(ods, ods, 1.0).selectExpr("l.user_id AS a", "r.user_id AS b").collect()}
+    want = sorted(p for p in near if p[0] < p[1] and p not in wrote and at[p[0]].city_id == at[p[1]].city_id and channels.get(p[0], set()) & channels.get(p[1], set()))
+    for few in (1000, 6, 0):
+        monkeypatch.setattr(M, "FEW", few)
+        out = M.friend_recommendations(ods, subscriptions, messages, 1.0)
+        assert sorted((x.user_left, x.user_right) for x in out.collect()) == want and want
+    monkeypatch.setattr(M, "FEW", 1000)
+    plan = M.friend_recommendations(ods, subscriptions, messages, 1.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lstrip().startswith("Union")  # pairs with lists are neither made distinct nor joined again
