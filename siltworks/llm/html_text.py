@@ -50,8 +50,8 @@ SIMPLE = re.compile(r"([.#])([\w-]+)|\[\s*([\w-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^
 SHOWN, UNPAINTED, REMOVED = range(3)
 #: Columns and rows that a cell may span at most, as browsers take it.
 MOST_COLUMNS, MOST_ROWS = 1000, 65534
-#: Blanks that align a table's cells, for each character of their text.
-PADDING = 8
+#: A page's width: a table's column that would begin beyond it begins there.
+WIDEST = 2500
 CSS_PART = re.compile(r"([^{}]*)([{}])")
 BLANKS = re.compile(r"[ \t\n\r\f]+")
 
@@ -127,8 +127,8 @@ def table_lines(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
     """Rows of cells (lines, columns, rows that it spans): each column as wide as its widest line, two spaces between columns.
 
     A cell stands in the first columns that no cell from a row above spans. One that spans several columns widens the last of them only by what
-    it needs beyond them all; one that spans rows stands in the first. Where spans that overlap would need over ``PADDING`` times the text's length in blanks, cells
-    stand two spaces apart instead of below one another.
+    it needs beyond them all; one that spans rows stands in the first. A column begins beyond those that it shares a row with; so where all that stands left of it is spanned from rows above in
+    each of its rows, it needs no room for that. No column begins beyond ``WIDEST``, however large or small the table: a line has at most so many blanks before a cell, or two.
     """
     taken: dict[int, int] = {}  # column -> rows that it is still spanned for
     placed: list[list[tuple[int, int, list[str]]]] = []
@@ -156,22 +156,30 @@ def table_lines(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
                 known = [c for c in range(at, at + columns) if c in wide]
                 last = known[-1] if known else at
                 wide[last] = max(wide.get(last, 0), need - sum(wide[c] + 2 for c in known if c != last))
+    columns = sorted(wide)
+    rank = lambda at: bisect.bisect_left(columns, at)
+    beside: dict[int, set[int]] = {}  # column -> those left of it in some row, with none between
+    for r in placed:
+        last = None
+        for at, n, _ in r:
+            for c in columns[rank(at) : rank(at + n)]:
+                if last is not None:
+                    beside.setdefault(c, set()).add(last)
+                last = c
     starts, x = {}, 0
-    for c in sorted(wide):
+    for c in columns:
+        x = max([x, *(starts[b] + (wide[b] + 2 if wide[b] else 0) for b in beside.get(c, ()))])
         starts[c] = x
-        x += wide[c] + 2 if wide[c] else 0
-    columns = sorted(wide)
-    place = lambda at: starts[columns[i]] if (i := bisect.bisect_left(columns, at)) < len(columns) else x
-    text = sum(len(y) + 1 for r in placed for _, _, lines in r for y in lines)
-    aligned = sum(max((place(at) for at, _, lines in r if k < len(lines) and lines[k]), default=0) for r in placed for k in range(max((len(lines) for _, _, lines in r), default=0))) <= PADDING * text + 100_000
+    end_of = max((starts[c] + (wide[c] + 2 if wide[c] else 0) for c in columns), default=0)
+    place = lambda at: min(WIDEST, starts[columns[i]] if (i := rank(at)) < len(columns) else end_of)
     out = []
     for r in placed:
         for k in range(max((len(lines) for _, _, lines in r), default=0)):
             line, end = [], 0
             for at, _, lines in r:
                 if k < len(lines) and lines[k]:
-                    start = place(at) if aligned else 0
-                    gap = start - end if start >= end and aligned else 2 if line else 0
+                    start = place(at)
+                    gap = start - end if start >= end else 2 if line else 0
                     line.append(" " * gap + lines[k])
                     end += gap + width(lines[k])
             out.append("".join(line).rstrip())

@@ -152,3 +152,15 @@ def test_overlapping_spans_stay_in_bounds():
     wide = "<table><tr>" + "".join(f"<td>{i}</td>" for i in range(500)) + "</tr><tr><td colspan=499>a</td><td>b</td></tr></table>"
     one, two = render(wide).split("\n")
     assert one.split() == [str(i) for i in range(500)] and two.index("b") == one.index("499")
+
+
+def test_rows_stand_alike_in_tables_of_any_size():
+    """Rows that are the same to look at come out the same, however many follow: before, blanks were left out of the whole table where it had many."""
+    head = "<tr>" + "".join(f"<td rowspan=65000>{'x' * 40}</td>" for _ in range(30)) + "<td>a</td><td>b</td></tr>"
+    small, large = (render(f"<table>{head}{'<tr><td>c</td><td>d</td></tr>' * n}</table>").split("\n") for n in (3, 2000))
+    assert small == large[: len(small)] and set(small[1:]) == set(large[1:])
+    assert small[0].index("a") == small[1].index("c") and small[0].index("b") == small[1].index("d")
+    debit = render("<table><tr><td>aaaa</td><td></td></tr><tr><td></td><td>b</td></tr></table>").split("\n")
+    assert debit[1].index("b") == 6
+    far = render(f"<table><tr><td>{'y' * 9000}</td><td>a</td><td>b</td></tr><tr><td>c</td><td>d</td><td>e</td></tr></table>").split("\n")
+    assert far[0].endswith("y  a  b") and far[1].index("d") == 2500 and far[1].endswith("d  e")
