@@ -208,3 +208,15 @@ def test_friends_are_made_once_with_and_without_lists(spark, monkeypatch):
     monkeypatch.setattr(M, "FEW", 1000)
     plan = M.friend_recommendations(ods, subscriptions, messages, 1.0)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.lstrip().startswith("Union")  # pairs with lists are neither made distinct nor joined again
+
+
+def test_a_level_of_cubes_is_written_once(spark, tmp_path, monkeypatch):
+    """Only the pairs that a level keeps are written; all that it measures, several times as many, were written too and dealt by cube twice."""
+    monkeypatch.setattr(G, "shared_folder", lambda spark, name: str(tmp_path / name))
+    rows = spark.range(300).selectExpr("id", "id * 37 % 170 - 85D AS lat", "id * 91 % 350 - 175D AS lon")
+    places = spark.range(200).selectExpr("id AS city_id", "concat('c', id) AS city", "id * 53 % 170 - 85D AS lat", "id * 71 % 350 - 175D AS lng")
+    got = {r.id: (r.city_id, r.distance_km) for r in G.nearest_of_many(rows, places, "lat", "lon", enough=8).collect()}
+    spots = places.collect()
+    for r in rows.collect():
+        assert got[r.id][1] == pytest.approx(min(km((r.lat, r.lon), (p.lat, p.lng)) for p in spots), abs=1e-6)
+    assert len(got) == 300 and not [p.name for p in (tmp_path / "nearest").iterdir() if p.name.endswith("-all")]
