@@ -1,4 +1,4 @@
-"""Operator 6 where similarity of word shingles is asked for: bands of minima propose, wide SimHash fingerprints discard, shingle sets decide."""
+"""Operator 6 where similarity of word shingles is asked for: SimHash fingerprints with the pivot table and bands of bits propose, then bands of minima what 4 bits can't reach; shingle sets decide."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from siltworks.llm.components import components
 from siltworks.llm.shared import scratch, split_by, stored
-from siltworks.llm.simhash import majority
+from siltworks.llm.simhash import fingerprint_links, majority
 
 #: Bands of minima. At similarity s a pair shares none with probability (1 - s**ROWS)**BANDS: 6e-5 at 0.8, 3e-7 at 0.85, 3e-11 at 0.9; at 0.25, as where
 #: half of each text is a common passage, it shares one with probability 0.008.
@@ -73,13 +73,13 @@ def signature_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator
     from xxhash import xxh64_intdigest
 
     for batch in batches:
-        nodes, sizes, keys = np.zeros(batch.num_rows, np.uint64), [], []
+        nodes, prints, sizes, keys = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.uint64), [], []
         for i, text in enumerate(batch.column("text")):
             found = shingles(text.as_py(), width)
-            nodes[i] = xxh64_intdigest(found.tobytes(), 42)
+            nodes[i], prints[i] = xxh64_intdigest(found.tobytes(), 42), majority(found)[0]
             sizes.append(len(found))
             keys.append(bands(found).view(np.int64) if len(found) else [])
-        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(nodes.view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["row", "doc_id", "node", "n", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(nodes.view(np.int64)), pa.array(prints.view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["row", "doc_id", "node", "fp", "n", "bands"])
 
 
 def set_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -111,26 +111,43 @@ def pair_batches(batches: Iterator[pa.RecordBatch], at_least: float) -> Iterator
         yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def fingerprint_pairs(nodes: DataFrame, at_least: float) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (node, fp, n) that operator 6 links: fingerprints at 4 or fewer differing bits, found in bands of bits with the table of distances to pivots.
+
+    Sets with one fingerprint are tried against the least of them, and those against each other along the links, so a group of any size has no more pairs than members and links.
+    Sets whose sizes alone rule out a similarity of ``at_least`` are left out.
+    """
+    least = stored(nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("x")).select("fp", F.col("x.node").alias("b"), F.col("x.n").alias("other_n")), "firsts")
+    links = fingerprint_links(least.select("fp"))
+    ends = [least.select(F.col("fp").alias(end), F.col("b").alias(node), F.col("other_n").alias(n)) for end, node, n in (("src", "node", "n"), ("dst", "b", "other_n"))]
+    pairs = nodes.select("fp", "node", "n").join(least, "fp").drop("fp").unionByName(links.join(ends[0], "src").join(ends[1], "dst").drop("src", "dst"))
+    fits = F.least("n", "other_n") >= at_least * F.greatest("n", "other_n") - 1e-9
+    return pairs.filter((F.col("node") != F.col("b")) & fits).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+
+
 def near_copies(docs: DataFrame, width: int = 5, at_least: float = 0.8, stars: int = 2) -> DataFrame:
     """One row per distinct ``row`` of ``docs`` (row, doc_id, text): row, doc_id, root, kept.
 
     Documents link if the sets of their shingles of ``width`` words have a Jaccard similarity of ``at_least`` or more; of each group
     that links connect, the least doc_id is kept (nulls last, of equals the least row). Texts without words, null ones too, are equal.
 
-    Sets that share a band of their minima are candidates. For ``stars`` rounds each band tries its members against one of them, so that a large group
+    Operator 6 goes first: sets whose SimHash fingerprints it links are candidates. That reaches close copies only (at 0.8 fingerprints differ by 10 bits in the mean),
+    so of sets that are not yet in one group those that share a band of their minima are candidates too. For ``stars`` rounds each band tries its members against one of them, so that a large group
     that does link is never all pairs; then the pairs of a band that no link connects yet meet in a join, whose condition discards those whose
     fingerprints differ by more bits than similar sets have. What survives is verified by the whole sets. ``row`` must be the same for equal rows only.
     """
     with scratch(docs.sparkSession) as keep:
         rows = docs.select("row", F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-        marked = rows.select("row", "doc_id", "text").mapInArrow(lambda it: signature_batches(it, width), "row bigint, doc_id bigint, node bigint, n bigint, bands array<bigint>")
+        marked = rows.select("row", "doc_id", "text").mapInArrow(lambda it: signature_batches(it, width), "row bigint, doc_id bigint, node bigint, fp bigint, n bigint, bands array<bigint>")
         marked = stored(marked, "signatures")
-        nodes = marked.groupBy("node").agg(F.min("n").alias("n"), F.first("bands").alias("bands"), F.min("row").alias("row"))
+        nodes = marked.groupBy("node").agg(F.min("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.min("row").alias("row"))
         nodes = stored(nodes.filter("n > 0"), "nodes")
+        pairs = stored(fingerprint_pairs(nodes, at_least), "pairs")
         dealt = nodes.select(F.explode("bands").alias("band"), "node", "n")
         shared = stored(dealt.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1").select("band"), "shared")
         dealt = stored(dealt.join(shared, "band"), "dealt")  # nodes that share a band with another
-        asked = stored(dealt.select("node").distinct().join(nodes.select("node", "row"), "node"), "asked")
+        asked = dealt.select("node").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+        asked = stored(asked.join(nodes.select("node", "row"), "node"), "asked")
         sets = split_by(rows, ["row"], asked)[0].join(asked, "row").select("node", "text").dropDuplicates(["node"]).mapInArrow(lambda it: set_batches(it, width), "node bigint, words binary")
         sets = stored(sets, "sets")
         # shingles that no other candidate has can't be shared, which bounds what a set can have in common with any
@@ -142,12 +159,12 @@ def near_copies(docs: DataFrame, width: int = 5, at_least: float = 0.8, stars: i
         apart = F.expr(" + ".join(f"bit_count(print[{i}] ^ other_print[{i}])" for i in range(WIDE)))
         alike = (F.least("n", "other_n") < LEAST) | (apart <= most_bits(at_least))
         once = F.col("band") == F.array_min(F.array_intersect("bands", "other_bands"))  # of the bands that a pair shares, one
-        tried, links, now = None, None, dealt.withColumn("root", F.col("node"))
-        for k in range(stars + 1):
-            if k < stars:
+        tried, links = None, None
+        for k in range(-1, stars + 1):  # -1: the pairs of the fingerprints
+            if 0 <= k < stars:
                 centre = now.groupBy("band").agg(F.min_by(F.struct(F.col("node").alias("b"), F.col("n").alias("other_n"), F.col("most").alias("other_most"), F.col("root").alias("other_root")), F.xxhash64(F.lit(k), "node")).alias("x"))
                 pairs = now.join(stored(centre.select("band", "x.*"), "centres"), "band").filter(close)
-            else:
+            elif k == stars:
                 mixed = stored(now.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band"), "mixed")
                 prints = stored(sets.mapInArrow(print_batches, "node bigint, print array<bigint>"), "prints")
                 # members of a band's largest group meet those outside of it, never each other, so an outsider in the band of a large group costs its size, not its square
@@ -156,10 +173,9 @@ def near_copies(docs: DataFrame, width: int = 5, at_least: float = 0.8, stars: i
                 rest = stored(now.join(largest, "band").join(nodes.select("node", "bands"), "node").join(prints, "node"), "rest")
                 other = rest.select("band", F.col("node").alias("b"), *[F.col(c).alias(f"other_{c}") for c in ("n", "most", "root", "print", "bands")])
                 pairs = rest.filter("root <> largest").join(other, "band").filter(F.expr("other_root = largest OR node < b") & close & alike & once)
-            pairs = pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
             if tried is not None:
-                pairs = pairs.join(tried, ["a", "b"], "left_anti")
-            pairs = stored(pairs, "pairs")
+                pairs = pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+                pairs = stored(pairs, "pairs")
             tried = pairs if tried is None else tried.unionByName(pairs)
             both = pairs.join(sets.withColumnsRenamed({"node": "a", "words": "a_words"}), "a").join(sets.withColumnsRenamed({"node": "b", "words": "b_words"}), "b")
             found = stored(both.select("a", "b", "a_words", "b_words").mapInArrow(lambda it: pair_batches(it, at_least), "a bigint, b bigint"), "found")

@@ -1,8 +1,11 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
+from siltworks.llm import near_copies as module
+from siltworks.llm import simhash
 from siltworks.llm.near_copies import near_copies
 
 DOCS = "doc_id bigint, text string"
@@ -80,6 +83,26 @@ def test_stage_keeps_unique_texts_without_id_or_with_one_id(spark):
     assert sorted(r.text for r in out.collect()) == sorted(t for _, t in rows)
 
 
+def test_fingerprints_and_pivots_propose(spark, monkeypatch):
+    """Close copies are found by operator 6 alone, with no band of minima at all, through its pivot table."""
+    rng, rows = random.Random(3), []
+    for k in range(8):
+        words = [f"w{rng.randrange(9999)}" for _ in range(2000)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:-1], "other"]))]
+    real, signatures, tables = simhash.with_pivots, module.signature_batches, []
+
+    def without_minima(batches, width):
+        for batch in signatures(batches, width):
+            i = batch.schema.get_field_index("bands")
+            yield batch.set_column(i, "bands", pa.array([[]] * batch.num_rows, pa.list_(pa.int64())))
+
+    monkeypatch.setattr(module, "signature_batches", without_minima)
+    monkeypatch.setattr(simhash, "with_pivots", lambda d: tables.append(d.count()) or real(d))
+    got = near_copies(spark.createDataFrame(rows, DOCS).selectExpr("xxhash64(doc_id) AS row", "*")).collect()
+    assert sorted(r.doc_id for r in got if r.kept) == list(range(0, 16, 2))
+    assert len(tables) == 1 and 8 <= tables[0] <= 16
+
+
 def test_an_outsider_in_the_band_of_a_large_group(spark):
     """A group that links and texts that share its bands without linking: the same groups as by brute force."""
     rng = random.Random(11)
