@@ -126,6 +126,26 @@ def test_pairs_are_made_once_and_not_shuffled(spark, monkeypatch):
     assert not any(keys in line or "Exchange" in line for line in before_union) and one.count() == 1600 * 1599 // 2
 
 
+def test_copies_of_a_member_of_a_very_large_group_are_bounded(spark, monkeypatch):
+    """The root of the number of blocks, here 116 and 368, was the number of copies."""
+    sides = spark.createDataFrame([(n,) for n in (1, 16, 100, 1000, 13_500, 135_000)], "n int").select("n", R.square_side(F.col("n"), 16).alias("side")).collect()
+    assert [-(-x.n // x.side) for x in sides] == [1, 4, 10, 32, 32, 33]
+    df, want = spark.range(90).selectExpr("id AS u", "id % 2 AS g"), sorted((a, b) for a in range(90) for b in range(a + 2, 90, 2))
+    for squares, wide in ((1, 1000), (2, 1000), (3, 4)):
+        monkeypatch.setattr(R, "SQUARES", squares)
+        monkeypatch.setattr(R, "WIDE", wide)
+        assert sorted(map(tuple, R.peer_pairs(df, "u", "g", 2).collect())) == want
+
+
+def test_a_member_meets_blocks_not_a_block_blocks(spark):
+    """A row of the join was two blocks, all of whose pairs a task made before it handed on the first."""
+    lines = plan(R.peer_pairs(spark.range(100).selectExpr("id AS u", "1 AS g"), "u", "g", 10)).splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    join = next(i for i, line in enumerate(lines) if "_low" in line and "Join" in line)
+    below = next((i for i in range(join + 1, len(lines)) if depth(lines[i]) <= depth(lines[join])), len(lines))
+    assert "SortMergeJoin" in lines[join] and sum("explode(_as" in x for x in lines[join:below]) == 1 and not any("explode(_bs" in x for x in lines[join:below])
+
+
 def test_candidates_of_one_city_follow_its_pairs(spark):
     def city(n):
         rng = random.Random(6)
