@@ -160,6 +160,18 @@ def test_candidates_of_one_city_follow_its_pairs(spark):
     assert counts[4000] < 5 * counts[1000] and counts[4000] < 4000 * 60
 
 
+def test_full_cubes_are_not_cut_where_they_are_many(spark):
+    """Each of a thousand equal cubes was cut in five, so the other side was copied five times more; points in space went with each copy."""
+    many = G._cut(spark.range(125_000).selectExpr("id % 1000 AS _cell"), ["_cell"], 1, 12)
+    assert many.count() == 1000 and many.filter("_parts <> 1").count() == 0
+    one = G._cut(spark.range(125_000).selectExpr("if(id < 1000, id, 0) AS _cell"), ["_cell"], 1, 12)
+    assert {x["_cell"]: x["_parts"] for x in one.filter("_parts <> 1").collect()} == {0: 48}
+    places = spark.range(50).selectExpr("id", "id * 1D AS lat", "id * 2D AS lon")
+    lines = plan(G.pairs_within(places, places, 400)).splitlines()
+    dealt = [i for i, line in enumerate(lines) if "REPARTITION_BY_NUM" in line]
+    assert len(dealt) == 2 and not any("_vx" in x for x in lines[dealt[1] :])
+
+
 def test_pairs_over_the_date_line_and_the_poles(spark):
     points = [(0, 0.0, 179.95), (1, 0.0, -179.95), (2, 89.99, 0.0), (3, 89.99, 180.0), (4, -90.0, 12.0), (5, -89.95, -100.0), (6, 40.0, 5.0), (7, 40.0, 5.0), (8, None, 5.0)]
     rng = random.Random(7)
