@@ -66,6 +66,37 @@ def test_guest_lines_are_joined_once(spark):
     assert text.index("hk_x") < text.index("Window")  # hub keys are made above the shuffles
 
 
+def test_the_vault_shuffles_no_text_of_hashes(spark):
+    """Hub and link keys were looked up as the text of their hashes, and satellites' rows dealt with it."""
+    now = F.lit("2024-01-01").cast("timestamp")
+    lines = spark.createDataFrame([("a_b", "c", "n"), ("a", "b_c", "n"), ("a", "c", "m"), ("a", "c", "m"), (None, "c", "m"), ("d", "e_", "o")], "x string, y string, z string")
+    link = spark.createDataFrame([], "link_key string, hk_x string, hk_y string, load_dt timestamp, load_src string")
+    uuid = lambda text: spark.range(1).select(S.md5_uuid(F.lit(text))).first()[0]
+    got = {(r.link_key, r.hk_x, r.hk_y) for r in L.load_link(lines, link, ["x", "y"], "s", now).collect()}
+    assert got == {(uuid("a_b_c"), uuid("a"), uuid("b_c")), (uuid("a_c"), uuid("a"), uuid("c")), (uuid("d_e_"), uuid("d"), uuid("e_"))}  # the least of two with one link key
+    held = L.load_link(lines.filter("y = 'c'"), link, ["x", "y"], "s", now)
+    assert sorted(r.link_key for r in L.missing_links(lines, held, ["x", "y"], "s", now).collect()) == [uuid("d_e_")]
+    hub = spark.createDataFrame([], "hub_key string, x string, load_dt timestamp, load_src string")
+    first = L.missing_hubs(lines.limit(1), hub, "x", "s", now)
+    assert sorted(r.hub_key for r in L.missing_hubs(lines, first, "x", "s", now).collect()) == sorted([uuid("a"), uuid("d")])
+    sat = spark.createDataFrame([], "x string, z string, hashdiff string, load_dt timestamp, load_src string")
+    old = L.load_satellite(lines.limit(3), sat, "x", ["z"], "s", now)
+    assert sorted((r.x, r.hashdiff) for r in old.collect()) == sorted([("a", max(uuid("n"), uuid("m"))), ("a_b", uuid("n"))])
+    assert [r.x for r in L.satellite_changes(lines, old, "x", ["z"], "s", F.lit("2024-01-02").cast("timestamp")).filter("x <> 'a'").collect()] == ["d"]
+    off = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    for k, v in off.items():
+        spark.conf.set(k, v)
+    try:
+        source, kept = (lines.repartition(3), spark.range(9).selectExpr("uuid() AS link_key", "'' AS x"))
+        for df, text in ((L.missing_links(source, kept.selectExpr("link_key", "'' hk_x", "'' hk_y", "now() AS load_dt", "'' load_src"), ["x", "y"], "s", now), "link_key"), (L.missing_hubs(source, kept.selectExpr("link_key AS hub_key", "x", "now() AS load_dt", "'' load_src"), "x", "s", now), "hub_key")):
+            plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
+            made = [i for i, line in enumerate(plan) if "regexp_replace" in line]
+            assert made and all(f"AS {text}" in plan[i] and "LeftAnti" in plan[i + 1] for i in made)  # the text is made above all shuffles
+    finally:
+        for k in off:
+            spark.conf.unset(k)
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text("id,name\n1,x\noops,y\n,z\n")
     good, bad = T.load_with_rejects(spark, str(tmp_path / "a.csv"), StructType([StructField("id", LongType()), StructField("name", StringType())]))
