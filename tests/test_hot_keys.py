@@ -242,6 +242,27 @@ def test_friends_are_made_once_with_and_without_lists(spark, monkeypatch):
     assert plan.lstrip().startswith("Union")  # pairs with lists are neither made distinct nor joined again
 
 
+def test_friends_of_large_channels_are_told_by_bits(spark, monkeypatch):
+    """Lists of channels were intersected for each near pair; now only those beyond the largest channels are listed."""
+    ods = spark.range(40).selectExpr("id AS user_id", "1 AS city_id", "-33 - id / 5000.0 AS lat", "151D AS lon", "'Australia/Sydney' AS zone", "timestamp '2024-01-01' AS ts", "id AS event_id")
+    subscriptions = spark.range(300).selectExpr("id * 7 % 41 AS user_id", "pmod(xxhash64(id), 12) AS channel")
+    messages = spark.createDataFrame([(3, 4), (9, 1)], "user_from bigint, user_to bigint")
+    channels = {}
+    for x in subscriptions.collect():
+        channels.setdefault(x.user_id, set()).add(x.channel)
+    near = {(x.a, x.b) for x in G.pairs_within(ods, ods, 1.0).selectExpr("l.user_id AS a", "r.user_id AS b").collect()}
+    want = sorted(p for p in near if p[0] < p[1] and p not in {(3, 4), (1, 9)} and channels.get(p[0], set()) & channels.get(p[1], set()))
+    made = {}
+    monkeypatch.setattr(M, "stored", lambda df, name: made.setdefault(name, df.cache()))
+    for largest in (63, 5, 0):
+        made.clear()
+        monkeypatch.setattr(R, "LARGEST", largest)
+        out = M.friend_recommendations(ods, subscriptions, messages, 1.0)
+        assert sorted((x.user_left, x.user_right) for x in out.collect()) == want and want
+        listed = {k for x in made["members"].collect() for k in x.channels or []}
+        assert len(listed) == max(12 - largest, 0)
+
+
 def test_a_level_of_cubes_is_written_once(spark, tmp_path, monkeypatch):
     """Only the pairs that a level keeps are written; all that it measures, several times as many, were written too and dealt by cube twice."""
     monkeypatch.setattr(G, "shared_folder", lambda spark, name: str(tmp_path / name))
